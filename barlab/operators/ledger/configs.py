@@ -57,35 +57,43 @@ BUFFERS = ["break_even_buffer", "ma_stop_buffer"]
 MODES = ("absolute", "atr")
 
 
-def _literal(name: str, dtype: str, value: object) -> Column:
+def _quoted(value: object) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _literal(dtype: str, value: object) -> str:
+    if value is None:
+        return f"CAST(NULL AS {dtype})"
     if isinstance(value, dict):
-        pairs = [F.lit(str(part)) for item in value.items() for part in item]
-        return F.create_map(*pairs).cast(dtype).alias(name)
-    return F.lit(value).cast(dtype).alias(name)
+        return f"CAST(map({', '.join(_quoted(part) for item in value.items() for part in item)}) AS {dtype})"
+    if isinstance(value, bool) or not isinstance(value, str):
+        return f"CAST({_quoted(value)} AS {dtype})"
+    return _quoted(value)
 
 
-def setting_literals(settings: dict) -> list[Column]:
-    """One run's settings as literal columns, defaults filled in."""
+def _settings(template: int, settings: dict) -> str:
+    """One run's settings as a SQL struct, defaults filled in."""
     unknown = sorted(set(settings) - set(CONFIG_NAMES))
     if unknown:
         raise ValueError(f"Unknown settings: {unknown}")
-    return [_literal(name, dtype, settings.get(name, default)) for name, dtype, default in CONFIG_FIELDS]
+    fields = [f"'{name}', {_literal(dtype, settings.get(name, default))}" for name, dtype, default in CONFIG_FIELDS]
+    return f"named_struct('template', {template}, {', '.join(fields)})"
+
+
+def _runs(templates: list[dict]) -> Column:
+    return F.explode(F.expr(f"array({', '.join(_settings(i, t) for i, t in enumerate(templates))})"))
 
 
 def config_table(spark: SparkSession, runs: list[dict]) -> DataFrame:
     """A config DataFrame from a few hand-written runs."""
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(*setting_literals(r)) for r in runs])).alias("run"))
-    return with_run_id(rows.select("run.*"))
+    return with_run_id(spark.range(1).select(_runs(runs).alias("run")).select("run.*"))
 
 
 def configs_per_series(series: DataFrame, templates: list[dict]) -> DataFrame:
     """Every template for every series of ``series`` (columns pair, timeframe)."""
-    runs = F.array(*[F.struct(F.lit(i).alias("template"), *setting_literals(t)) for i, t in enumerate(templates)])
-    exploded = series.select(*SERIES).distinct().withColumn("run", F.explode(runs))
-    filled = exploded.select(
-        "run.template",
-        *SERIES,
-        *[F.col(f"run.{name}").alias(name) for name in CONFIG_NAMES if name not in SERIES],
+    exploded = series.select(*SERIES).distinct().withColumn("run", _runs(templates))
+    filled = exploded.selectExpr(
+        "run.template", *SERIES, *[f"run.{name} AS {name}" for name in CONFIG_NAMES if name not in SERIES]
     )
     return with_run_id(filled)
 
@@ -93,162 +101,137 @@ def configs_per_series(series: DataFrame, templates: list[dict]) -> DataFrame:
 def with_run_id(configs: DataFrame) -> DataFrame:
     """Deterministic id: strategy, window and the first ten hex digits of a SHA-1 of all settings."""
     payload = F.to_json(F.struct(*sorted(CONFIG_NAMES)), {"ignoreNullFields": "false"})
-    stem = lambda name: F.replace(F.replace(F.coalesce(F.col(name), F.lit("None")), F.lit(":"), F.lit("")), F.lit(" "), F.lit("_"))
-    return configs.withColumn(
-        "run_id",
-        F.concat_ws(
-            "_",
-            F.coalesce(F.col("strategy_name"), F.lit("None")),
-            stem("start_date"),
-            stem("end_date"),
-            F.substring(F.sha1(payload), 1, 10),
-        ),
+    stem = "replace(replace(coalesce({0}, 'None'), ':', ''), ' ', '_')"
+    return configs.withColumn("digest", F.sha1(payload)).selectExpr(
+        *configs.columns,
+        f"concat_ws('_', coalesce(strategy_name, 'None'), {stem.format('start_date')}, "
+        f"{stem.format('end_date')}, substring(digest, 1, 10)) AS run_id",
     )
 
 
-def _lowered(name: str, default: str) -> Column:
-    return F.lower(F.trim(F.coalesce(F.col(name), F.lit(default))))
-
-
 def normalize_configs(configs: DataFrame) -> DataFrame:
     """Lower-case names, fill implied modes and buffers; bad values stay for the checks."""
-    implied = configs.withColumns(
-        {
-            "break_even_buffer": F.when(F.col("break_even").isNotNull(), F.coalesce("break_even_buffer", F.lit(0.0))).otherwise(
-                F.col("break_even_buffer")
-            ),
-            "ma_stop_buffer": F.when(F.col("ma_stop"), F.coalesce("ma_stop_buffer", F.lit(0.0))).otherwise(F.col("ma_stop_buffer")),
-            "position_sizing_mode": _lowered("position_sizing_mode", "fixed"),
-            "trailing_type": _lowered("trailing_type", "standard"),
-            "ma_stop_source": _lowered("ma_stop_source", "short"),
-            "atr_method": F.lower(F.trim("atr_method")),
-            "chandelier_atr_method": F.lower(F.trim("chandelier_atr_method")),
-        }
-    )
-    return implied.withColumns(
-        {
-            f"{name}_mode": F.when(F.col(name).isNotNull(), _lowered(f"{name}_mode", "absolute")).otherwise(
-                F.col(f"{name}_mode")
-            )
-            for name in DISTANCES + BUFFERS
-        }
-    )
-
-
-def _distance_checks(name: str, zero_allowed: bool = False) -> list[tuple[Column, str]]:
-    value, mode = F.col(name), F.col(f"{name}_mode")
-    too_small, wording = (value < 0, "zero or positive") if zero_allowed else (value <= 0, "positive")
+    replaced = {
+        "break_even_buffer": "CASE WHEN break_even IS NOT NULL THEN coalesce(break_even_buffer, 0D) ELSE break_even_buffer END",
+        "ma_stop_buffer": "CASE WHEN ma_stop THEN coalesce(ma_stop_buffer, 0D) ELSE ma_stop_buffer END",
+        "position_sizing_mode": "lower(trim(coalesce(position_sizing_mode, 'fixed')))",
+        "trailing_type": "lower(trim(coalesce(trailing_type, 'standard')))",
+        "ma_stop_source": "lower(trim(coalesce(ma_stop_source, 'short')))",
+        "atr_method": "lower(trim(atr_method))",
+        "chandelier_atr_method": "lower(trim(chandelier_atr_method))",
+    }
+    for name in DISTANCES + BUFFERS:
+        is_set = f"({replaced.get(name, name)}) IS NOT NULL"
+        replaced[f"{name}_mode"] = (
+            f"CASE WHEN {is_set} THEN lower(trim(coalesce({name}_mode, 'absolute'))) ELSE {name}_mode END"
+        )
+    return configs.selectExpr(*[f"{replaced.get(c, c)} AS {c}" for c in configs.columns])
+
+
+def _distance_checks(name: str, zero_allowed: bool = False) -> list[tuple[str, str]]:
+    too_small, wording = ("< 0", "zero or positive") if zero_allowed else ("<= 0", "positive")
     return [
-        (value.isNull() & mode.isNotNull(), f"{name}_mode requires {name} to be set."),
-        (too_small, f"{name} must be {wording} when provided."),
-        (~mode.isin(*MODES), f"Unsupported {name}_mode."),
+        (f"{name} IS NULL AND {name}_mode IS NOT NULL", f"{name}_mode requires {name} to be set."),
+        (f"{name} {too_small}", f"{name} must be {wording} when provided."),
+        (f"{name}_mode NOT IN {MODES}", f"Unsupported {name}_mode."),
     ]
 
 
-def _atr_checks(prefix: str) -> list[tuple[Column, str]]:
+def _atr_checks(prefix: str) -> list[tuple[str, str]]:
     return [
-        (
-            F.col(f"{prefix}_period").isNull() | (F.col(f"{prefix}_period") <= 0),
-            f"{prefix}_period must be a positive integer.",
-        ),
-        (
-            F.col(f"{prefix}_method").isNull() | ~F.col(f"{prefix}_method").isin(*ATR_METHODS),
-            f"Unsupported {prefix}_method.",
-        ),
+        (f"{prefix}_period IS NULL OR {prefix}_period <= 0", f"{prefix}_period must be a positive integer."),
+        (f"{prefix}_method IS NULL OR {prefix}_method NOT IN {ATR_METHODS}", f"Unsupported {prefix}_method."),
     ]
 
 
-def config_checks() -> list[tuple[Column, str]]:
+FIXED, RISK = "position_sizing_mode = 'fixed'", "position_sizing_mode = 'risk_percent'"
+STANDARD, CHANDELIER = "trailing_type = 'standard'", "trailing_type = 'chandelier'"
+TRAILS = f"({STANDARD} AND trailing_stop IS NOT NULL OR {CHANDELIER} AND chandelier_multiplier IS NOT NULL)"
+
+
+def config_checks() -> list[tuple[str, str]]:
     """(violated, message) pairs over a normalised config row; the first violation counts."""
-    mode, trailing = F.col("position_sizing_mode"), F.col("trailing_type")
-    fixed, risk = mode == "fixed", mode == "risk_percent"
-    standard, chandelier = trailing == "standard", trailing == "chandelier"
-    has_multiplier = F.col("chandelier_multiplier").isNotNull()
-    trails = (standard & F.col("trailing_stop").isNotNull()) | (chandelier & has_multiplier)
-    checks = [
-        (~mode.isin("fixed", "risk_percent"), "Unsupported position_sizing_mode."),
-        (F.col("initial_capital").isNull() | (F.col("initial_capital") <= 0), "initial_capital must be positive."),
+    return [
+        ("position_sizing_mode NOT IN ('fixed', 'risk_percent')", "Unsupported position_sizing_mode."),
+        ("initial_capital IS NULL OR initial_capital <= 0", "initial_capital must be positive."),
         (
-            fixed & (F.col("fixed_position_size").isNull() | (F.col("fixed_position_size") <= 0)),
+            f"{FIXED} AND (fixed_position_size IS NULL OR fixed_position_size <= 0)",
             "fixed_position_size must be positive when position_sizing_mode='fixed'.",
         ),
         (
-            risk & (F.col("risk_percent").isNull() | (F.col("risk_percent") <= 0)),
+            f"{RISK} AND (risk_percent IS NULL OR risk_percent <= 0)",
             "risk_percent must be positive when position_sizing_mode='risk_percent'.",
         ),
         (
-            risk & F.col("stop_loss").isNull() & ~F.col("ma_stop"),
+            f"{RISK} AND stop_loss IS NULL AND NOT ma_stop",
             "position_sizing_mode='risk_percent' requires an entry-time stop from stop_loss or ma_stop.",
         ),
-        *[(F.col(cost) < 0, f"{cost} must be zero or positive.") for cost in ("spread", "slippage", "fee_per_trade")],
-        (~F.col("allow_long") & ~F.col("allow_short"), "At least one of allow_long or allow_short must be enabled."),
-        (~F.col("one_position_at_a_time"), "Only one_position_at_a_time=True is supported."),
+        *[(f"{cost} < 0", f"{cost} must be zero or positive.") for cost in ("spread", "slippage", "fee_per_trade")],
+        ("NOT allow_long AND NOT allow_short", "At least one of allow_long or allow_short must be enabled."),
+        ("NOT one_position_at_a_time", "Only one_position_at_a_time=True is supported."),
         *_distance_checks("stop_loss"),
         *_distance_checks("take_profit"),
-        (~trailing.isin("standard", "chandelier"), "Unsupported trailing_type."),
+        ("trailing_type NOT IN ('standard', 'chandelier')", "Unsupported trailing_type."),
         *_distance_checks("trailing_stop"),
         *_distance_checks("trailing_activation"),
         *_distance_checks("break_even"),
         *_distance_checks("break_even_buffer", zero_allowed=True),
-        (~F.col("ma_stop_source").isin("short", "long"), "Unsupported ma_stop_source."),
+        ("ma_stop_source NOT IN ('short', 'long')", "Unsupported ma_stop_source."),
         (
-            ~F.col("ma_stop") & (F.col("ma_stop_buffer").isNotNull() | F.col("ma_stop_buffer_mode").isNotNull()),
+            "NOT ma_stop AND (ma_stop_buffer IS NOT NULL OR ma_stop_buffer_mode IS NOT NULL)",
             "ma_stop_buffer and ma_stop_buffer_mode require ma_stop to be enabled.",
         ),
         *_distance_checks("ma_stop_buffer", zero_allowed=True),
         (
-            F.col("trailing_activation").isNotNull() & ~trails,
+            f"trailing_activation IS NOT NULL AND NOT {TRAILS}",
             "trailing_activation requires trailing stop configuration.",
         ),
-        (standard & has_multiplier, "chandelier_multiplier is only used with trailing_type='chandelier'."),
         (
-            chandelier & (F.col("trailing_stop").isNotNull() | F.col("trailing_stop_mode").isNotNull()),
+            f"{STANDARD} AND chandelier_multiplier IS NOT NULL",
+            "chandelier_multiplier is only used with trailing_type='chandelier'.",
+        ),
+        (
+            f"{CHANDELIER} AND (trailing_stop IS NOT NULL OR trailing_stop_mode IS NOT NULL)",
             "trailing_stop and trailing_stop_mode are not used with trailing_type='chandelier'.",
         ),
         (
-            chandelier & (~has_multiplier | (F.col("chandelier_multiplier") <= 0)),
+            f"{CHANDELIER} AND (chandelier_multiplier IS NULL OR chandelier_multiplier <= 0)",
             "trailing_type='chandelier' requires a positive chandelier_multiplier.",
         ),
-        *[(chandelier & violated, message) for violated, message in _atr_checks("chandelier_atr")],
+        *[(f"{CHANDELIER} AND ({violated})", message) for violated, message in _atr_checks("chandelier_atr")],
         *_atr_checks("atr"),
     ]
-    return checks
+
+
+def _any_atr(names: list[str]) -> str:
+    return "coalesce(array_contains(array({}), 'atr'), false)".format(
+        ", ".join(f"coalesce({name}_mode, '')" for name in names)
+    )
 
 
 def check_configs(configs: DataFrame) -> DataFrame:
     """Normalised configs plus ``error`` (NULL when valid) and the switches the ledger reads."""
-    normal = normalize_configs(configs)
-    error = F.coalesce(*[F.when(violated, F.lit(message)) for violated, message in config_checks()])
-    uses = lambda *names: F.coalesce(
-        F.array_contains(F.array(*[F.coalesce(F.col(f"{n}_mode"), F.lit("")) for n in names]), "atr"), F.lit(False)
-    )
-    trailing = F.when(F.col("trailing_type") == "standard", F.col("trailing_stop").isNotNull()).otherwise(
-        F.col("chandelier_multiplier").isNotNull()
-    )
-    ratchets = trailing | F.col("break_even").isNotNull() | F.col("ma_stop")
-    return normal.withColumns(
-        {
-            "error": error,
-            "uses_atr": uses(*DISTANCES, *BUFFERS),
-            "needs_entry_atr": uses("stop_loss", "take_profit", "trailing_activation", "break_even", "break_even_buffer"),
-            "trails": trailing,
-            "ratchets": ratchets,
-            "has_exit_level": ratchets | F.col("stop_loss").isNotNull() | F.col("take_profit").isNotNull(),
-            "atr_series": F.concat(F.lit("atr_"), "atr_method", F.lit("_"), F.col("atr_period").cast("string")),
-            "chandelier_series": F.concat(
-                F.lit("atr_"), "chandelier_atr_method", F.lit("_"), F.col("chandelier_atr_period").cast("string")
-            ),
-        }
+    error = " ".join(f"WHEN {violated} THEN {_quoted(message)}" for violated, message in config_checks())
+    at_entry = ["stop_loss", "take_profit", "trailing_activation", "break_even", "break_even_buffer"]
+    ratchets = f"({TRAILS} OR break_even IS NOT NULL OR ma_stop)"
+    return normalize_configs(configs).selectExpr(
+        "*",
+        f"CASE {error} END AS error",
+        f"{_any_atr(DISTANCES + BUFFERS)} AS uses_atr",
+        f"{_any_atr(at_entry)} AS needs_entry_atr",
+        f"{TRAILS} AS trails",
+        f"{ratchets} AS ratchets",
+        f"({ratchets} OR stop_loss IS NOT NULL OR take_profit IS NOT NULL) AS has_exit_level",
+        "concat('atr_', atr_method, '_', atr_period) AS atr_series",
+        "concat('atr_', chandelier_atr_method, '_', chandelier_atr_period) AS chandelier_series",
     )
 
 
 def required_atrs(checked: DataFrame) -> list[TrueRangeAverage]:
     """Distinct ATR settings of the valid runs (a handful of names, whatever the number of runs)."""
-    valid = checked.where(F.col("error").isNull())
-    plain = valid.where("uses_atr").select(F.col("atr_method").alias("method"), F.col("atr_period").alias("period"))
-    chandelier = valid.where("trails AND trailing_type = 'chandelier'").select(
-        F.col("chandelier_atr_method").alias("method"), F.col("chandelier_atr_period").alias("period")
+    valid = checked.where("error IS NULL")
+    plain = valid.where("uses_atr").selectExpr("atr_method AS method", "atr_period AS period")
+    chandelier = valid.where(f"trails AND {CHANDELIER}").selectExpr(
+        "chandelier_atr_method AS method", "chandelier_atr_period AS period"
     )
     return [TrueRangeAverage(row.method, row.period) for row in plain.union(chandelier).distinct().collect()]
-
-

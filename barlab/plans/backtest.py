@@ -114,7 +114,7 @@ def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *,
     ``signals`` may carry ``short_sma, long_sma`` or ``ma_fast, ma_slow`` for MA
     stops; the first of each pair wins per row.
     """
-    checked = check_configs(configs)
+    checked = materialize(check_configs(configs), "configs")
     atrs = required_atrs(checked)
     aligned = align_signals(with_indicators(candles, [], atrs), signals)
     sources = {"stop_ma_short": ("short_sma", "ma_fast"), "stop_ma_long": ("long_sma", "ma_slow")}
@@ -145,7 +145,6 @@ def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *,
         "error",
         F.coalesce("error", F.when(unserved, F.lit("ma_stop requires signals that carry the chosen moving average."))),
     )
-    checked = materialize(checked, "configs")
     runs = checked.where(F.col("error").isNull()).withColumn("signal_key", F.lit("shared"))
     rows = bars.withColumn("signal_key", F.lit("shared")).where("signal <> 0")
     return keep_book(

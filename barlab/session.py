@@ -17,6 +17,8 @@ def build_session(app: str = "barlab", master: str | None = None, **conf: str) -
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # Call-site capture costs several round trips per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         **conf,
