@@ -193,7 +193,8 @@ def with_indicators(
 
     Columns: ``<kind>_<n>`` and ``prev_<kind>_<n>`` per average,
     ``atr_<method>_<n>`` per ATR, plus ``INDEX_COLUMNS``.  Values are NULL until
-    enough bars exist.  Closes must not be NULL.
+    enough bars exist.  A NULL close leaves simple and weighted averages NULL as
+    long as it is in reach; exponential and Wilder averages reject it.
     """
     averages = sorted(set(averages), key=lambda a: (a.period, a.kind))
     atrs = sorted(set(atrs), key=lambda a: (a.period, a.method))
@@ -205,9 +206,14 @@ def with_indicators(
     sums = {a for a in averages if a.kind in ("sma", "wma", "hma")}
     exponential = [a for a in averages if a.kind == "ema" and a.period > 1]
     decays: dict[Decay, Column] = {}
-    alpha_input = lambda source, period: F.when(F.col("bar_index") == 0, F.col(source)).otherwise(
-        F.col(source) * F.lit(2.0 / (period + 1.0))
-    )
+    def present(source: str) -> Column:
+        problem = F.raise_error(F.lit(f"{source} must not be NULL in an exponential or Wilder average"))
+        return F.coalesce(F.col(source), problem.cast("double"))
+
+    def alpha_input(source: str, period: int) -> Column:
+        weight = F.when(F.col("bar_index") == 0, F.lit(1.0)).otherwise(F.lit(2.0 / (period + 1.0)))
+        return present(source) * weight
+
     for average in exponential:
         decays[_ema_decay(average.column, average.period)] = alpha_input("close", average.period)
     for atr in atrs:
@@ -217,7 +223,7 @@ def with_indicators(
             decays[_ema_decay(atr.column, atr.period)] = alpha_input("true_range", atr.period)
         elif atr.method == "wilder":
             factor = (atr.period - 1.0) / atr.period
-            share = F.col("true_range") / F.lit(float(atr.period))
+            share = present("true_range") / F.lit(float(atr.period))
             # The seed is a plain mean: undo the decay the first n terms meet on the way to it.
             seeded = share * power(factor, F.least(F.col("bar_index") - F.lit(atr.period - 1), F.lit(0)))
             decays[Decay(atr.column, factor, atr.period)] = seeded
@@ -244,11 +250,12 @@ def with_indicators(
     )
 
     block = _Block()
-    moved = F.when(F.col("close") != F.col("prev_close"), number)
+    moved = F.when(~F.col("close").eqNullSafe(F.col("prev_close")), number)
     lent = lent.withColumn("ramp_close", F.col("close") * F.col("pos"))
     frame = lent.withColumns(
         {
             **block.sums(["close", "ramp_close", "true_range"]),
+            "last_missing": F.max(F.when(F.col("close").isNull(), number)).over(block.grow),
             "still_since": F.coalesce(F.max(moved).over(block.grow), F.min(number).over(block.grow)),
             **{
                 f"loc_{decay.name}": F.sum(F.when(F.col("own"), term * power(decay.factor, -F.col("pos")))).over(block.grow)
@@ -258,8 +265,11 @@ def with_indicators(
         }
     )
 
+    # A missing close is in reach while fewer than ``length`` bars have passed since.
+    complete_since = F.coalesce(F.col("last_missing"), F.lit(-1))
+
     def warm(length: int, value: Column) -> Column:
-        return F.when(number >= F.lit(length - 1), value)
+        return F.when(number - complete_since >= F.lit(length), value)
 
     def settled(length: int, value: Column) -> Column:
         """Over unchanged closes an average is that close, free of rounding."""

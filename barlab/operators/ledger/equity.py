@@ -56,15 +56,16 @@ def segments(runs: DataFrame, trades: DataFrame) -> DataFrame:
     return idle.unionByName(traded).where(F.col("from_index") <= F.col("to_index"))
 
 
-def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame) -> DataFrame:
+def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
     """``packed`` bars need timestamp and close."""
-    rows = unpack(segments(runs, trades), packed, F.col("from_index"), F.col("to_index"))
+    rows = unpack(segments(runs, trades), packed, F.col("from_index"), F.col("to_index"), salts)
     sign = F.col("sign")
     mark = F.when(sign != 0, (sign * F.col("close") - F.col("entry_s")) * F.col("size")).otherwise(F.lit(0.0))
     return rows.select(
         "run_id",
         *SERIES,
         "block",
+        "salt",
         "bar_index",
         "timestamp",
         (F.col("capital") + mark).alias("equity"),

@@ -20,6 +20,8 @@ from barlab.session import materialize
 
 FIRST_HORIZON = 8 * BLOCK
 HORIZON_GROWTH = 8
+RUNS_PER_SALT = 64
+MOST_SALTS = 64
 
 
 def pack_bars(bars: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,18 +33,28 @@ def pack_bars(bars: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def salts_for(runs_per_series: int) -> int:
+    """Copies of the packed bars, so that many runs on few blocks still spread over tasks.
+
+    Grows with the runs, so the copies never outweigh what they are joined to.
+    """
+    return max(1, min(MOST_SALTS, -(-runs_per_series // RUNS_PER_SALT)))
+
+
 def over_blocks(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     """One copy of each row per block it touches."""
     return rows.withColumn("block", F.explode(F.sequence(whole_blocks(start), whole_blocks(end))))
 
 
-def unpack(rows: DataFrame, packed: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Rows x the bars of their [start, end] range."""
+def unpack(rows: DataFrame, packed: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+    """Rows x the bars of their [start, end] range; ``salt`` tells which copy served a run."""
     base = F.col("block") * F.lit(BLOCK)
     low = F.greatest(start - base, F.lit(0)).cast("int")
     high = F.least(end - base, F.lit(BLOCK - 1)).cast("int")
-    joined = over_blocks(rows, start, end).join(packed, [*SERIES, "block"])
-    return joined.select(*rows.columns, "block", F.inline(F.slice("bars", low + 1, high - low + 1)))
+    spread = over_blocks(rows, start, end).withColumn("salt", F.pmod(F.hash("run_id"), F.lit(salts)))
+    copies = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = spread.join(copies, [*SERIES, "block", "salt"])
+    return joined.select(*rows.columns, "block", "salt", F.inline(F.slice("bars", low + 1, high - low + 1)))
 
 
 def _signed_bar(columns: list[str]) -> dict[str, Column]:
@@ -56,13 +68,13 @@ def _signed_bar(columns: list[str]) -> dict[str, Column]:
     return signed
 
 
-def fixed_hits(followed: DataFrame, packed: DataFrame) -> DataFrame:
+def fixed_hits(followed: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
     """First touch of a fixed stop or target; the stop wins within a bar.
 
     Touches are filtered right after the join, so only hit bars are shuffled.
     """
     slim = followed.select(*CANDIDATE_KEY, "sign", "stop_s", "target_s", "until")
-    rows = unpack(slim, packed, F.col("entry_index"), F.col("until")).withColumns(_signed_bar([]))
+    rows = unpack(slim, packed, F.col("entry_index"), F.col("until"), salts).withColumns(_signed_bar([]))
     stopped = F.coalesce(F.col("worst") <= F.col("stop_s"), F.lit(False))
     reached = F.coalesce(F.col("best") >= F.col("target_s"), F.lit(False))
     none = F.lit(None).cast("double")
@@ -107,7 +119,9 @@ _RATCHET_SETTINGS = [
 ]
 
 
-def ratchet_hits(followed: DataFrame, packed: DataFrame, atr_columns: list[str], ma_columns: list[str]) -> DataFrame:
+def ratchet_hits(
+    followed: DataFrame, packed: DataFrame, salts: int = 1, *, atr_columns: list[str], ma_columns: list[str]
+) -> DataFrame:
     """First touch of the tightest stop or the target when stops move.
 
     A bar is checked against the levels the *previous* bars left, then moves
@@ -115,7 +129,7 @@ def ratchet_hits(followed: DataFrame, packed: DataFrame, atr_columns: list[str],
     ("before").  The last row also yields the final levels for the trade record.
     """
     slim = followed.select(*CANDIDATE_KEY, *_RATCHET_SETTINGS)
-    rows = unpack(slim, packed, F.col("entry_index"), F.col("until")).withColumns(_signed_bar(["close"]))
+    rows = unpack(slim, packed, F.col("entry_index"), F.col("until"), salts).withColumns(_signed_bar(["close"]))
     life = Window.partitionBy(*CANDIDATE_KEY).orderBy("bar_index")
     so_far = life.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -194,18 +208,19 @@ def first_hits(
     *,
     longest: int,
     follow,
+    salts: int = 1,
     first_horizon: int = FIRST_HORIZON,
 ) -> DataFrame:
     """Outcome per candidate, following unresolved ones over growing horizons.
 
     ``longest`` is the length of the longest series: when the first horizon
-    covers it, one lazy pass is all there is.  ``follow(rows, packed)`` is
+    covers it, one lazy pass is all there is.  ``follow(rows, packed, salts)`` is
     ``fixed_hits`` or ``ratchet_hits``.
     """
     horizon, pending, outcomes = first_horizon, candidates, None
     while True:
         until = F.least(F.col("limit_index"), F.col("entry_index") + F.lit(horizon - 1))
-        found = follow(pending.withColumn("until", until), packed)
+        found = follow(pending.withColumn("until", until), packed, salts)
         if horizon >= longest:
             return found if outcomes is None else outcomes.unionByName(found)
         found = materialize(found, "outcomes")

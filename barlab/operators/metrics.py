@@ -73,16 +73,18 @@ def drawdowns(equity: DataFrame) -> DataFrame:
     """Deepest fall from the running peak, in money and as a fraction.
 
     Peaks run inside each (run, block); the peak of earlier blocks comes from a
-    one-row-per-block summary, so no task walks a whole curve.
+    one-row-per-block summary, so no task walks a whole curve.  ``salt`` depends
+    on the run only; naming it keeps the partitioning the curve was built with.
     """
-    inside = Window.partitionBy(*RUN, "block").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
+    piece = [*RUN, "block", *[c for c in ("salt",) if c in equity.columns]]
+    inside = Window.partitionBy(*piece).orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*RUN).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        equity.groupBy(*RUN, "block")
+        equity.groupBy(*piece)
         .agg(F.max("equity").alias("top"))
-        .select(*RUN, "block", F.max("top").over(earlier).alias("top_before"))
+        .select(*piece, F.max("top").over(earlier).alias("top_before"))
     )
-    peaked = equity.join(carried, [*RUN, "block"]).withColumn(
+    peaked = equity.join(carried, piece).withColumn(
         "peak", F.greatest(F.max("equity").over(inside), F.col("top_before"))
     )
     return peaked.groupBy(*RUN).agg(

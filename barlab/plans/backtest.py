@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.functions.indicators import Average, with_indicators
+from barlab.functions.indicators import with_indicators
 from barlab.operators.ledger.chain import accept, settle
 from barlab.operators.ledger.configs import check_configs, required_atrs
 from barlab.operators.ledger.entries import SIGNAL_ROW, align_signals, candidate_entries
@@ -20,6 +20,7 @@ from barlab.operators.ledger.exits import (
     pack_bars,
     ratchet_hits,
     resolve_exits,
+    salts_for,
 )
 from barlab.operators.metrics import run_metrics
 from barlab.schemas import SERIES
@@ -36,10 +37,11 @@ class Book:
     packed: DataFrame
     candidates: DataFrame
     trades: DataFrame
+    salts: int = 1
 
     @property
     def equity(self) -> DataFrame:
-        return equity_curve(self.runs, self.trades, self.packed)
+        return equity_curve(self.runs, self.trades, self.packed, self.salts)
 
     @property
     def metrics(self) -> DataFrame:
@@ -65,8 +67,10 @@ def keep_book(
     if longest > first_horizon:
         packed = materialize(packed, "packed")
 
-    kinds = {row[0] for row in runs.select(F.col("ratchets")).distinct().collect()}
-    hits = partial(first_hits, packed=packed, longest=longest, first_horizon=first_horizon)
+    per_series = runs.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("runs"), F.collect_set("ratchets").alias("kinds"))
+    facts = per_series.agg(F.max("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")).first()
+    kinds, salts = set(facts["kinds"] or []), salts_for(facts["runs"] or 1)
+    hits = partial(first_hits, packed=packed, longest=longest, salts=salts, first_horizon=first_horizon)
     leveled = candidates.where("has_exit_level")
     outcomes = None
     if False in kinds:
@@ -105,7 +109,7 @@ def keep_book(
     resolved = resolve_exits(candidates, outcomes).select(*kept)
     trades = materialize(settle(accept(resolved)), "trades")
     live = runs.join(summary.where("last_index >= 1"), SERIES)
-    return Book(live, rejected, bars, packed, candidates, trades)
+    return Book(live, rejected, bars, packed, candidates, trades, salts)
 
 
 def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *, first_horizon: int = FIRST_HORIZON) -> Book:
@@ -156,8 +160,3 @@ def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *,
         ma_columns=ma_columns,
         first_horizon=first_horizon,
     )
-
-
-def with_strategy_bars(candles: DataFrame, averages: list[Average], atrs) -> DataFrame:
-    """Indexed bars with every indicator a set of runs needs, written once."""
-    return materialize(with_indicators(candles, averages, atrs), "bars")
