@@ -134,7 +134,8 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, PATHS, "orders")
+    """The path table, stored once like any file listing."""
+    return kept(spark, sf_dir, "paths", lambda: materialize(derived(spark, sf_dir, PATHS, "orders"), "paths"))
 
 
 # --- experiment results, one per part ---
