@@ -2,14 +2,19 @@
 
 Whatever is open when the signal turns is closed on that same open, so the book
 is flat at the start of every run of same-side signals: acceptance is decided
-per (config, series, run) independently.  Only the capital, one small row per
-accepted trade, is folded along a whole (config, series).
+per (config, series, run) independently, from two numbers per candidate.
+
+Capital is folded over blocks of trades: each block is reduced to the map from
+capital before to capital after, only those few numbers per block meet along a
+(config, series), and every block then settles its own trades.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlab.functions.indicators import whole_blocks
+from barlab.operators.ledger.entries import CANDIDATE_KEY
 from barlab.schemas import SERIES
 
 # --- fixed values: column order of a trade record ---
@@ -84,38 +89,87 @@ def scan(items: Column, start: Column, step, size: int = 256) -> Column:
 
 
 def accept(resolved: DataFrame) -> DataFrame:
-    """Keep candidates that start after the previous accepted one ended."""
-    payload = F.struct("entry_index", "exit_index", *[c for c in resolved.columns if c not in ("entry_index", "exit_index")])
-    grouped = (
-        resolved.groupBy("run_id", *SERIES, "sign", "flip_index")
-        .agg(F.sort_array(F.collect_list(payload)).alias("candidates"))
+    """Keep candidates that start after the previous accepted one ended.
+
+    ``resolved`` is read twice: for the two numbers the decision needs, and for
+    the rows that are kept.
+    """
+    grouped = resolved.groupBy("run_id", *SERIES, "sign", "flip_index").agg(
+        F.sort_array(F.collect_list(F.struct("entry_index", "exit_index"))).alias("candidates")
     )
 
     def step(free_after: Column, item: Column) -> Column:
         taken = item["entry_index"] > free_after
         return F.struct(
-            F.when(taken, item["exit_index"]).otherwise(free_after).alias("state"), taken.alias("out")
+            F.when(taken, item["exit_index"]).otherwise(free_after).alias("state"),
+            F.when(taken, item["entry_index"]).alias("out"),
         )
 
-    flags = scan(F.col("candidates"), F.lit(-1).cast("bigint"), step)
-    return (
-        grouped.select("candidates", flags.alias("taken"))
-        .select(F.inline(F.arrays_zip("candidates", "taken")))
-        .where("taken")
-        .select("candidates.*")
+    entries = scan(F.col("candidates"), F.lit(-1).cast("bigint"), step)
+    accepted = (
+        grouped.select("run_id", *SERIES, F.explode(entries).alias("entry_index")).where(F.col("entry_index").isNotNull())
     )
+    return resolved.join(accepted, CANDIDATE_KEY, "left_semi")
+
+
+_RUN_SETTINGS = ["position_sizing_mode", "initial_capital", "fixed_position_size", "risk_percent", "fee_per_trade"]
+
+
+def _block_map(trades: Column) -> Column:
+    """What a block of trades does to capital y: y -> factor * y + shift, and how much it needs.
+
+    A risk-sized run stops for good once its capital is gone; with y at or below
+    ``ruin`` that happens inside the block.
+    """
+    fixed = F.col("position_sizing_mode") == "fixed"
+    start = F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("ruin"))
+
+    def compose(so_far: Column, trade: Column) -> Column:
+        move = trade["exit_s"] - trade["entry_s"]
+        gain = F.when(fixed, F.lit(1.0)).otherwise(1.0 + F.col("risk_percent") * move / trade["stop_distance"])
+        cost = F.when(fixed, move * F.col("fixed_position_size")).otherwise(F.lit(0.0)) - F.col("fee_per_trade")
+        factor, shift = so_far["factor"] * gain, so_far["shift"] * gain + cost
+        need = F.when(fixed, F.lit(float("-inf"))).when(factor > 0, -shift / factor).otherwise(F.lit(float("inf")))
+        return F.struct(factor.alias("factor"), shift.alias("shift"), F.greatest(so_far["ruin"], need).alias("ruin"))
+
+    return F.aggregate(trades, start, compose)
+
+
+def _block_openings(blocks: DataFrame) -> DataFrame:
+    """Capital and number of trades before each block; capital 0 once a run is ruined."""
+    per_run = blocks.groupBy("run_id", *SERIES).agg(
+        F.sort_array(F.collect_list(F.struct("block", "trade_count", "effect"))).alias("blocks"),
+        F.first("initial_capital").alias("initial_capital"),
+    )
+
+    def step(state: Column, item: Column) -> Column:
+        capital = state["capital"]
+        effect = item["effect"]
+        after = F.when(capital <= effect["ruin"], F.lit(0.0)).otherwise(effect["factor"] * capital + effect["shift"])
+        return F.struct(
+            F.struct(after.alias("capital"), (state["count"] + item["trade_count"]).alias("count")).alias("state"),
+            F.struct(item["block"].alias("block"), capital.alias("opening"), state["count"].alias("trades_before")).alias("out"),
+        )
+
+    start = F.struct(F.col("initial_capital").alias("capital"), F.lit(0).cast("bigint").alias("count"))
+    return per_run.select("run_id", *SERIES, F.inline(scan(F.col("blocks"), start, step)))
 
 
 def settle(accepted: DataFrame) -> DataFrame:
     """Sizes, pnl and compounding capital per (config, series), as trade records.
 
-    A risk-sized run stops trading once its capital is gone.  Besides the trade
-    columns the result keeps ``run_id, trade_no, entry_index, exit_index, sign``.
+    Besides the trade columns the result keeps ``run_id, trade_no, entry_index,
+    exit_index, sign``.
     """
-    one_run = ["position_sizing_mode", "initial_capital", "fixed_position_size", "risk_percent", "fee_per_trade"]
-    payload = F.struct("entry_index", *[c for c in accepted.columns if c not in ("entry_index", "run_id", *SERIES, *one_run)])
-    grouped = accepted.groupBy("run_id", *SERIES).agg(
-        F.sort_array(F.collect_list(payload)).alias("trades"), *[F.first(c).alias(c) for c in one_run]
+    payload = [c for c in accepted.columns if c not in ("entry_index", "run_id", *SERIES, *_RUN_SETTINGS)]
+    blocks = (
+        accepted.withColumn("block", whole_blocks(F.col("entry_index")))
+        .groupBy("run_id", *SERIES, "block")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("entry_index", *payload))).alias("trades"),
+            *[F.first(c).alias(c) for c in _RUN_SETTINGS],
+        )
+        .withColumns({"trade_count": F.size("trades"), "effect": _block_map(F.col("trades"))})
     )
 
     def step(capital: Column, trade: Column) -> Column:
@@ -132,11 +186,12 @@ def settle(accepted: DataFrame) -> DataFrame:
             ).alias("out"),
         )
 
-    ledger = scan(F.col("trades"), F.col("initial_capital"), step)
+    opened = blocks.join(_block_openings(blocks), ["run_id", *SERIES, "block"])
+    kept = ["run_id", *SERIES, "fee_per_trade", "trades_before"]
     rows = (
-        grouped.withColumn("sized", ledger)
-        .select("run_id", *SERIES, "fee_per_trade", F.posexplode(F.arrays_zip("trades", "sized")).alias("at", "row"))
-        .select("run_id", *SERIES, "fee_per_trade", (F.col("at") + 1).alias("trade_no"), "row.trades.*", "row.sized.*")
+        opened.withColumn("sized", scan(F.col("trades"), F.col("opening"), step))
+        .select(*kept, F.posexplode(F.arrays_zip("trades", "sized")).alias("at", "row"))
+        .select(*kept, (F.col("trades_before") + F.col("at") + 1).alias("trade_no"), "row.trades.*", "row.sized.*")
         .where(F.col("size").isNotNull())
     )
     sign = F.col("sign")

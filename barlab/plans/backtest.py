@@ -106,7 +106,7 @@ def keep_book(
         "exit_s",
         *DIAGNOSTICS,
     ]
-    resolved = resolve_exits(candidates, outcomes).select(*kept)
+    resolved = materialize(resolve_exits(candidates, outcomes).select(*kept), "resolved")
     trades = materialize(settle(accept(resolved)), "trades")
     live = runs.join(summary.where("last_index >= 1"), SERIES)
     return Book(live, rejected, bars, packed, candidates, trades, salts)
