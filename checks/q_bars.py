@@ -18,7 +18,7 @@ from barlab.operators.resample import (
 from barlab.schemas import TIMEFRAMES
 from barlab.sources.ticks import normalize_bars, normalize_ticks
 from checks import duck_sql as D
-from checks.feeds import LINE_FIELDS, bars, event_ticks, line_ticks, table
+from checks.feeds import LINE_FIELDS, bars, derived, event_ticks, line_ticks
 from checks.registry import query, r
 
 OHLC = ["pair", "timeframe", "timestamp", "open", "high", "low", "close"]
@@ -118,8 +118,6 @@ _SOURCES = """SELECT event_type AS pair, CASE event_type WHEN 'click' THEN 'tick
     WHERE {_RANK.format('timeframe')} >= {_RANK.format('source_timeframe')}""",
 )
 def b7(spark, sf):
-    from checks.feeds import derived
-
     sources = derived(spark, sf, _SOURCES, "events")
     targets = sources.withColumn("timeframe", F.explode(F.array(*[F.lit(tf) for tf in TIMEFRAMES])))
     assert targets_for("4h") == ["4h", "1d"]

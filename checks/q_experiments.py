@@ -21,9 +21,9 @@ from barlab.plans.experiments import (
     slices,
     split_complete,
 )
-from barlab.operators.ledger.configs import check_configs
+from barlab.session import materialize
 from checks import duck_sql as D
-from checks.feeds import bars, kept, table
+from checks.feeds import bars, derived, kept, table
 from checks.registry import query, r
 
 GRID = dict(
@@ -35,13 +35,20 @@ ENTRIES = ["crossover", "crossover_breakout", "price_above_all"]
 
 
 def _series(spark, sf):
-    return bars(spark, sf, "1h").select("pair", "timeframe").distinct()
+    """One series per supplier: the matrix grows with the table."""
+    return table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("pair"), F.lit("1h").alias("timeframe"))
 
 
 def _matrix(spark, sf, **changes):
     return experiment_matrix(_series(spark, sf), **{"exit_profiles": PROFILES, **GRID, **changes})
 
 
+def _event_matrix(spark, sf, profiles):
+    """The same rules for the pairs that have bars."""
+    series = bars(spark, sf, "1h").select("pair", "timeframe").distinct()
+    return experiment_matrix(series, exit_profiles=profiles, **GRID)
+
+
 def rules() -> list[tuple[tuple, tuple, str]]:
     found = [(p, t, e) for p in GRID["periods_2"] for t in GRID["types_2"] for e in ENTRIES]
     return found + [(p, t, e) for p in GRID["periods_3"] for t in GRID["types_3"] for e in ENTRIES if e != "crossover"]
@@ -51,11 +58,14 @@ def variants(profiles: list[str]) -> list[tuple[str, str | None]]:
     return [(p, v) for p in profiles for v in (("standard", "chandelier") if p in TRAILING_PROFILES else (None,))]
 
 
-def matrix_sql(profiles: list[str] = PROFILES) -> str:
+SUPPLIERS = "SELECT 'S' || s_suppkey AS pair FROM supplier"
+
+
+def matrix_sql(profiles: list[str] = PROFILES, series: str = SUPPLIERS) -> str:
     """One row per rule and exit, as text."""
     rules_sql = ", ".join(f"('{','.join(map(str, p))}', '{','.join(t)}', '{e}')" for p, t, e in rules())
     exits_sql = ", ".join(f"('{p}', {'NULL' if v is None else repr(v)})" for p, v in variants(profiles))
-    return f"""SELECT pair, '1h' AS timeframe, ma_periods, ma_types, entry_type, exit_profile, trailing_type_variant FROM (SELECT DISTINCT event_type AS pair FROM events)
+    return f"""SELECT pair, '1h' AS timeframe, ma_periods, ma_types, entry_type, exit_profile, trailing_type_variant FROM ({series})
     CROSS JOIN (VALUES {rules_sql}) a(ma_periods, ma_types, entry_type) CROSS JOIN (VALUES {exits_sql}) b(exit_profile, trailing_type_variant)"""
 
 
@@ -67,7 +77,7 @@ def h1(spark, sf):
     return _matrix(spark, sf).select(*MATRIX_KEY)
 
 
-@query("h1_default_size", "SELECT pair, timeframe, 873 AS runs, 873 AS hashes FROM (SELECT DISTINCT event_type AS pair FROM events), (VALUES ('1h'), ('1d')) t(timeframe)")
+@query("h1_default_size", f"SELECT pair, timeframe, 873 AS runs, 873 AS hashes FROM ({SUPPLIERS}), (VALUES ('1h'), ('1d')) t(timeframe)")
 def h1_default(spark, sf):
     """The default matrix: runs per series."""
     series = _series(spark, sf).select("pair", F.explode(F.array(F.lit("1h"), F.lit("1d"))).alias("timeframe"))
@@ -90,7 +100,7 @@ def _profile_sql() -> str:
         rows.append("(" + ", ".join(str(v) for v in values) + ")")
     columns = "exit_profile, trailing_type_variant, stop_loss, take_profit, mode, trailing_stop, multiplier, break_even, break_even_buffer, ma_stop, ma_stop_buffer"
     shown = ", ".join(f"{r(c + '::DOUBLE')} AS {c}" for c in ("stop_loss", "take_profit", "trailing_stop", "multiplier", "break_even", "break_even_buffer", "ma_stop_buffer"))
-    return f"""SELECT DISTINCT event_type AS pair, exit_profile, trailing_type_variant, mode, ma_stop, {shown} FROM events CROSS JOIN (VALUES {', '.join(rows)}) v({columns})"""
+    return f"""SELECT pair, exit_profile, trailing_type_variant, mode, ma_stop, {shown} FROM ({SUPPLIERS}) CROSS JOIN (VALUES {', '.join(rows)}) v({columns})"""
 
 
 @query("h3_exit_profiles", _profile_sql())
@@ -192,7 +202,7 @@ ruled AS ({' UNION ALL '.join(f"SELECT '{_rule_name(*rule)}' AS rule, *, {_signa
 @query("h8_shared_signals", MAS + f" SELECT rule AS signal_key, pair, {D.stamp('ts')} AS timestamp, sig AS signal FROM ruled WHERE sig <> 0")
 def h8(spark, sf):
     """One signal set per distinct rule, whatever the number of runs that use it."""
-    distinct = distinct_rules(_matrix(spark, sf))
+    distinct = distinct_rules(_event_matrix(spark, sf, PROFILES))
     averages = [a for rule in distinct.values() for a in rule.averages]
     frame = with_indicators(bars(spark, sf, "1h"), averages)
     tested = F.array(*[F.struct(F.lit(key).alias("signal_key"), rule.signal().alias("signal")) for key, rule in distinct.items()])
@@ -227,9 +237,7 @@ INTEGERS = ["total_trades", "long_trades_count", "stop_loss_exits", "trailing_st
 
 def _results(spark, sf):
     def build():
-        book = run_matrix(bars(spark, sf, "1h"), _matrix(spark, sf, exit_profiles=RESULT_PROFILES))
-        from barlab.session import materialize
-
+        book = run_matrix(bars(spark, sf, "1h"), _event_matrix(spark, sf, RESULT_PROFILES))
         return materialize(flatten_results(book), "results")
 
     return kept(spark, sf, "matrix-results", build)
@@ -254,8 +262,6 @@ _DERIVED = "SELECT o_orderkey AS key, CASE WHEN o_custkey % 10 = 0 THEN NULL ELS
     f"""SELECT key::VARCHAR AS config_hash, CASE WHEN net IS NULL OR pf IS NULL THEN 'missing required metrics: ' || concat_ws(', ', CASE WHEN net IS NULL THEN 'net_pnl' END, CASE WHEN pf IS NULL THEN 'profit_factor' END) END AS error FROM ({_DERIVED})""",
 )
 def h10(spark, sf):
-    from checks.feeds import derived
-
     rows = derived(spark, sf, _DERIVED, "orders").select(
         F.col("key").cast("string").alias("config_hash"), F.lit("{}").alias("config_json"), F.lit(1).alias("total_trades"),
         F.col("net").alias("net_pnl"), F.col("pf").alias("profit_factor"), F.lit(0.0).alias("max_drawdown"),
@@ -267,11 +273,11 @@ def h10(spark, sf):
 @query(
     "h11_failure_isolation",
     f"""SELECT pair, count(*) FILTER (entry_type <> 'crossover_breakout') AS completed, count(*) FILTER (entry_type = 'crossover_breakout') AS failed
-    FROM ({matrix_sql(['atr12'])}) GROUP BY pair""",
+    FROM ({matrix_sql(['atr12'], 'SELECT DISTINCT event_type AS pair FROM events')}) GROUP BY pair""",
 )
 def h11(spark, sf):
     """Broken configs among good ones: logged, and the rest still run."""
-    matrix = _matrix(spark, sf, exit_profiles=["atr12"]).withColumn(
+    matrix = _event_matrix(spark, sf, ["atr12"]).withColumn(
         "stop_loss", F.when(F.col("entry_type") == "crossover_breakout", F.lit(-1.0)).otherwise(F.col("stop_loss"))
     )
     book = run_matrix(bars(spark, sf, "1h"), matrix)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlab.operators.ledger.configs import BUFFERS, DISTANCES, check_configs, config_checks, configs_per_series
+from barlab.operators.ledger.configs import CONFIG_FIELDS, check_configs, configs_per_series
 from barlab.operators.ledger.entries import align_signals
 from barlab.operators.metrics import EXIT_COUNTS
 from barlab.operators.signals import ma_strategy
 from barlab.plans.backtest import run_backtest
 from checks import duck_sql as D
-from checks.feeds import bars, kept, table
+from checks.feeds import bars, derived, kept, table
 from checks.registry import query, r
 from checks.runs import BASE, BROKEN, NAMES, RULE, RUNS, TIMEFRAME, settings
 
@@ -217,6 +217,37 @@ def f21(spark, sf):
     return check_configs(configs).select(F.col("strategy_name").alias("run"), "pair", "error")
 
 
+# One config per order; some break one rule or more, the first broken rule is reported.
+_CONFIGS = """SELECT o_orderkey AS key, CASE WHEN o_custkey % 11 = 0 THEN 0.0 ELSE o_totalprice END AS initial_capital,
+  CASE WHEN o_orderstatus = 'P' THEN ' Risk_Percent ' ELSE 'fixed' END AS position_sizing_mode, CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE 1.5 END AS fixed_position_size,
+  CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 0.01 END AS risk_percent, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN -2.0 ELSE 2.0 END AS stop_loss,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'ATR' WHEN o_orderkey % 3 = 1 THEN NULL ELSE 'pips' END AS stop_loss_mode,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'chandelier' ELSE 'standard' END AS trailing_type,
+  CASE WHEN o_custkey % 2 = 0 THEN 1.5 END AS chandelier_multiplier, o_custkey % 17 > 0 AS allow_long, o_custkey % 34 > 0 AS allow_short FROM orders"""
+
+
+@query(
+    "f21_config_rows",
+    f"""WITH c AS (SELECT *, lower(trim(position_sizing_mode)) AS mode, CASE WHEN stop_loss IS NULL THEN stop_loss_mode ELSE lower(trim(coalesce(stop_loss_mode, 'absolute'))) END AS slm FROM ({_CONFIGS}))
+    SELECT key, CASE WHEN initial_capital <= 0 THEN 'initial_capital must be positive.'
+      WHEN mode = 'fixed' AND fixed_position_size IS NULL THEN 'fixed_position_size must be positive when position_sizing_mode=''fixed''.'
+      WHEN mode = 'risk_percent' AND risk_percent IS NULL THEN 'risk_percent must be positive when position_sizing_mode=''risk_percent''.'
+      WHEN mode = 'risk_percent' AND stop_loss IS NULL THEN 'position_sizing_mode=''risk_percent'' requires an entry-time stop from stop_loss or ma_stop.'
+      WHEN NOT allow_long AND NOT allow_short THEN 'At least one of allow_long or allow_short must be enabled.'
+      WHEN stop_loss IS NULL AND slm IS NOT NULL THEN 'stop_loss_mode requires stop_loss to be set.'
+      WHEN stop_loss <= 0 THEN 'stop_loss must be positive when provided.' WHEN slm NOT IN ('absolute', 'atr') THEN 'Unsupported stop_loss_mode.'
+      WHEN trailing_type = 'standard' AND chandelier_multiplier IS NOT NULL THEN 'chandelier_multiplier is only used with trailing_type=''chandelier''.'
+      WHEN trailing_type = 'chandelier' AND chandelier_multiplier IS NULL THEN 'trailing_type=''chandelier'' requires a positive chandelier_multiplier.' END AS error FROM c""",
+)
+def f21_rows(spark, sf):
+    """Every order as a config row."""
+    rows = derived(spark, sf, _CONFIGS, "orders")
+    filled = rows.selectExpr(
+        "key", *[name if name in rows.columns else f"CAST({'NULL' if value is None else repr(value)} AS {dtype}) AS {name}" for name, dtype, value in CONFIG_FIELDS]
+    )
+    return check_configs(filled).select("key", "error")
+
+
 def metric_query(name: str, columns: list[str]):
     shown = ", ".join(c if c in COUNTS else f"{r(c)} AS {c}" for c in columns)
     sql = _machine(NAMES, f"SELECT {_run_name(NAMES, 'k')} AS run, pair, {shown} FROM metrics", f", {D.equity()}, {D.metrics()}")

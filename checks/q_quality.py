@@ -8,7 +8,7 @@ from barlab.operators.quality import candle_warnings, enforce_bar_limit, sampled
 from barlab.operators.shortlist import display, metric_columns, quality_filter, shortlist
 from barlab.operators.tradelog import NUMERIC, REJECTIONS, chart_segments, clean_trades, examine, warnings
 from checks import duck_sql as D
-from checks.feeds import RESULTS, TRADES, TRADE_WINDOW, bars, event_ticks, results, table, trade_log
+from checks.feeds import RESULTS, TRADES, TRADE_WINDOW, bars, derived, event_ticks, results, trade_log
 from checks.registry import query, r
 
 # Events as untidy candles: some times do not parse, some repeat, some go back.
@@ -28,8 +28,6 @@ _UNTIDY = """SELECT event_type AS pair, 'tick' AS timeframe, event_id AS seq,
       UNION ALL SELECT pair, 'duplicate_timestamps', dup FROM s WHERE dup > 0 UNION ALL SELECT pair, 'missing_ohlc', miss FROM s WHERE miss > 0)""",
 )
 def k1(spark, sf):
-    from checks.feeds import derived
-
     return candle_warnings(derived(spark, sf, _UNTIDY, "events")).withColumn("count", F.coalesce("count", F.lit(0)))
 
 
