@@ -1,15 +1,15 @@
 """Marked-to-market equity, one row per run and bar.
 
 Trades cut the bars of a run into segments that are either flat or hold one
-position.  Segments meet the packed bars by (series, block) and unpack there, so
-the per-bar rows are born in place and never shuffled.
+position.  Segments meet the packed bars by (series, block) and unpack there; the
+per-bar rows are born in place and are not shuffled again, also not for peaks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barlab.operators.ledger.exits import unpack
+from barlab.operators.ledger.exits import open_bars, place
 from barlab.schemas import SERIES
 
 EQUITY_COLUMNS = ["timestamp", "equity", "capital", "realized_equity", "position_side"]
@@ -56,9 +56,12 @@ def segments(runs: DataFrame, trades: DataFrame) -> DataFrame:
     return idle.unionByName(traded).where(F.col("from_index") <= F.col("to_index"))
 
 
-def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
-    """``packed`` bars need timestamp and close."""
-    rows = unpack(segments(runs, trades), packed, F.col("from_index"), F.col("to_index"), salts)
+def _place(runs: DataFrame, trades: DataFrame, salts: int) -> DataFrame:
+    return place(segments(runs, trades), F.col("from_index"), F.col("to_index"), salts)
+
+
+def _mark(placed: DataFrame, packed: DataFrame, salts: int, *extra: str) -> DataFrame:
+    rows = open_bars(placed, packed, F.col("from_index"), F.col("to_index"), salts)
     sign = F.col("sign")
     mark = F.when(sign != 0, (sign * F.col("close") - F.col("entry_s")) * F.col("size")).otherwise(F.lit(0.0))
     return rows.select(
@@ -72,4 +75,23 @@ def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: i
         "capital",
         F.col("capital").alias("realized_equity"),
         F.when(sign > 0, "long").when(sign < 0, "short").otherwise("flat").alias("position_side"),
+        *extra,
     )
+
+
+def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
+    """``packed`` bars need timestamp and close."""
+    return _mark(_place(runs, trades, salts), packed, salts)
+
+
+def peaked_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
+    """The curve with ``top_before``: the highest equity of earlier blocks.
+
+    The curve is laid out twice rather than shuffled once: block tops come from
+    an aggregation where the rows are born, and return on the sparse segments.
+    """
+    placed = _place(runs, trades, salts)
+    tops = _mark(placed, packed, salts).groupBy("run_id", *SERIES, "block", "salt").agg(F.max("equity").alias("top"))
+    earlier = Window.partitionBy("run_id", *SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select("run_id", *SERIES, "block", F.max("top").over(earlier).alias("top_before"))
+    return _mark(placed.join(before, ["run_id", *SERIES, "block"]), packed, salts, "top_before")

@@ -41,20 +41,26 @@ def salts_for(runs_per_series: int) -> int:
     return max(1, min(MOST_SALTS, -(-runs_per_series // RUNS_PER_SALT)))
 
 
-def over_blocks(rows: DataFrame, start: Column, end: Column) -> DataFrame:
-    """One copy of each row per block it touches."""
-    return rows.withColumn("block", F.explode(F.sequence(whole_blocks(start), whole_blocks(end))))
+def place(rows: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+    """One copy of each row per block its [start, end] range touches, as ``block`` and ``salt``."""
+    return rows.withColumn("block", F.explode(F.sequence(whole_blocks(start), whole_blocks(end)))).withColumn(
+        "salt", F.pmod(F.hash("run_id"), F.lit(salts))
+    )
 
 
-def unpack(rows: DataFrame, packed: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
-    """Rows x the bars of their [start, end] range; ``salt`` tells which copy served a run."""
+def open_bars(placed: DataFrame, packed: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+    """Placed rows x the bars of their range inside the block."""
     base = F.col("block") * F.lit(BLOCK)
     low = F.greatest(start - base, F.lit(0)).cast("int")
     high = F.least(end - base, F.lit(BLOCK - 1)).cast("int")
-    spread = over_blocks(rows, start, end).withColumn("salt", F.pmod(F.hash("run_id"), F.lit(salts)))
     copies = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = spread.join(copies, [*SERIES, "block", "salt"])
-    return joined.select(*rows.columns, "block", "salt", F.inline(F.slice("bars", low + 1, high - low + 1)))
+    joined = placed.join(copies, [*SERIES, "block", "salt"])
+    return joined.select(*placed.columns, F.inline(F.slice("bars", low + 1, high - low + 1)))
+
+
+def unpack(rows: DataFrame, packed: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+    """Rows x the bars of their [start, end] range."""
+    return open_bars(place(rows, start, end, salts), packed, start, end, salts)
 
 
 def _signed_bar(columns: list[str]) -> dict[str, Column]:

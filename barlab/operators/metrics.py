@@ -69,24 +69,15 @@ def trade_totals(trades: DataFrame, keys: list[str] = RUN) -> DataFrame:
     )
 
 
-def drawdowns(equity: DataFrame) -> DataFrame:
+def drawdowns(curve: DataFrame) -> DataFrame:
     """Deepest fall from the running peak, in money and as a fraction.
 
-    Peaks run inside each (run, block); the peak of earlier blocks comes from a
-    one-row-per-block summary, so no task walks a whole curve.  ``salt`` depends
-    on the run only; naming it keeps the partitioning the curve was built with.
+    ``curve`` is a ``peaked_curve``: peaks run inside each (run, block), earlier
+    blocks enter through ``top_before``.  ``salt`` depends on the run only; naming
+    it keeps the partitioning the rows were born with.
     """
-    piece = [*RUN, "block", *[c for c in ("salt",) if c in equity.columns]]
-    inside = Window.partitionBy(*piece).orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*RUN).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        equity.groupBy(*piece)
-        .agg(F.max("equity").alias("top"))
-        .select(*piece, F.max("top").over(earlier).alias("top_before"))
-    )
-    peaked = equity.join(carried, piece).withColumn(
-        "peak", F.greatest(F.max("equity").over(inside), F.col("top_before"))
-    )
+    inside = Window.partitionBy(*RUN, "block", "salt").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
+    peaked = curve.withColumn("peak", F.greatest(F.max("equity").over(inside), F.col("top_before")))
     return peaked.groupBy(*RUN).agg(
         F.min(F.col("equity") - F.col("peak")).alias("max_drawdown"),
         F.min(F.try_divide(F.col("equity"), F.col("peak")) - 1).alias("max_drawdown_pct"),
@@ -95,12 +86,15 @@ def drawdowns(equity: DataFrame) -> DataFrame:
     )
 
 
-def run_metrics(runs: DataFrame, trades: DataFrame, equity: DataFrame) -> DataFrame:
-    """One row per run of ``runs`` (run_id, series, initial_capital), also without trades."""
+def run_metrics(runs: DataFrame, trades: DataFrame, curve: DataFrame) -> DataFrame:
+    """One row per run of ``runs`` (run_id, series, initial_capital), also without trades.
+
+    ``curve`` is the ``peaked_curve`` of the runs.
+    """
     joined = (
         runs.select(*RUN, "initial_capital")
         .join(trade_totals(trades), RUN, "left")
-        .join(drawdowns(equity), RUN, "left")
+        .join(drawdowns(curve), RUN, "left")
     )
     total = F.coalesce("total_trades", F.lit(0))
     zero = lambda column: F.coalesce(column, F.lit(0.0))

@@ -11,7 +11,7 @@ from barlab.functions.indicators import with_indicators
 from barlab.operators.ledger.chain import accept, settle
 from barlab.operators.ledger.configs import check_configs, required_atrs
 from barlab.operators.ledger.entries import SIGNAL_ROW, align_signals, candidate_entries
-from barlab.operators.ledger.equity import equity_curve
+from barlab.operators.ledger.equity import equity_curve, peaked_curve
 from barlab.operators.ledger.exits import (
     DIAGNOSTICS,
     FIRST_HORIZON,
@@ -45,7 +45,8 @@ class Book:
 
     @property
     def metrics(self) -> DataFrame:
-        return run_metrics(self.runs, self.trades, self.equity)
+        curve = peaked_curve(self.runs, self.trades, self.packed, self.salts)
+        return run_metrics(self.runs, self.trades, curve)
 
 
 def keep_book(
