@@ -1,8 +1,8 @@
 """Token-ID / binary output: framed records in shard files, with a separate offset index.
 
 A record is ``length (u64) | masked crc32 of the length (u32) | payload | masked
-crc32 of the payload (u32)``, all little-endian; the payload is a document's ids
-as u32.  The mask rotates the checksum right by 15 bits and adds 0xa282ead8, so
+crc32 of the payload (u32)``, all little-endian; the payload is the width of an id
+in bytes (2 where the vocabulary has at most 65,536 entries, else 4) and a document's ids.  The mask rotates the checksum right by 15 bits and adds 0xa282ead8, so
 that a checksum stored inside checksummed data does not weaken it.
 
 Every task writes one shard under a name of its own and returns its index rows;
@@ -16,6 +16,7 @@ Columns other than the id and text columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,9 @@ from llm._common import read, store
 from llm.registry import query
 
 MASK = 0xA282EAD8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def masked(data: bytes) -> int:
@@ -64,13 +67,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import json
-
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        steps = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
         self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.plain = regex.compile("[!-~\u00a1-\u017f]+").fullmatch
         self.byte_chars = self._byte_chars()
@@ -89,18 +91,24 @@ class Encoder:
         return [out.get(byte, "") for byte in range(256)]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def word(self, word: str) -> bytes:
-        if not self.plain(word) or "<|" in word:
+        if "<|" in word or not (word.isascii() and word.isprintable() or self.plain(word)):
             return self.whole(word)
+        small = word.lower()
+        core = small.rstrip(PUNCTUATION)
+        if core.isalpha():
+            cut = (core, small[len(core) :]) if len(core) < len(small) else (core,)
+        else:
+            cut = self.cut(small)
         out = []
-        for piece in self.cut(word.lower()):
+        for piece in cut:
             got = self.pieces.get(piece)
             if got is None:
                 marks = self.byte_chars
                 tokens = self.model.tokenize("".join([marks[b] for b in piece.encode()]))
-                got = self.pieces[piece] = b"".join([token.id.to_bytes(4, "little") for token in tokens])
+                got = self.pieces[piece] = b"".join([token.id.to_bytes(self.width, "little") for token in tokens])
             out.append(got)
         return b"".join(out)
 
@@ -124,6 +132,19 @@ class Encoder:
         return out
 
 
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def ids_of(record: bytes) -> np.ndarray:
+    """Ids of one framed record."""
+    payload = unframe(record)
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write shard files below ``folder`` and return the stored index.
 
@@ -141,7 +162,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        start_mark, end_mark = bytes([encode.width]), end_id.to_bytes(encode.width, "little")
         target, where = pafs.FileSystem.from_uri(folder)
         path, out, place, position = f"{where}/shard-{shard:06d}-{uuid.uuid4().hex}.rec", None, 0, 0
         for batch in batches:
@@ -149,7 +171,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
                 part = batch.slice(start, 500)
                 rows = []
                 for ids in encode([text or "" for text in part.column(1).to_pylist()]):
-                    record = frame(ids + end_id.to_bytes(4, "little"))
+                    record = frame(start_mark + ids + end_mark)
                     out = out or target.open_output_stream(path)
                     out.write(record)
                     rows.append((place, position, len(record)))
@@ -166,7 +188,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, shard, place, ids array<bigint>``-like summary of every record, read by offset: in any order and subset."""
+    """``doc_id, shard, place, n_tokens, ids_crc32`` of every record of ``index``, read by offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = pafs.FileSystem.from_uri(folder)
@@ -176,9 +198,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             for path, position, length in zip(*(batch.column(c).to_pylist() for c in ("path", "position", "length")), strict=True):
                 if path != name:
                     name, source = path, fs.open_input_file(f"{where}/{path}")
-                payload = unframe(source.read_at(length, position))
-                counts.append(len(payload) // 4)
-                sums.append(zlib.crc32(payload))
+                ids = ids_of(source.read_at(length, position))
+                counts.append(len(ids))
+                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("shard"), batch.column("place"), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "shard", "place", "n_tokens", "ids_crc32"],
@@ -196,7 +218,7 @@ def read_ids(index: DataFrame, folder: str) -> DataFrame:
             out = []
             for path, position, length in zip(*(batch.column(c).to_pylist() for c in ("path", "position", "length")), strict=True):
                 with fs.open_input_file(f"{where}/{path}") as source:
-                    out.append(np.frombuffer(unframe(source.read_at(length, position)), "<u4").astype(np.int64))
+                    out.append(ids_of(source.read_at(length, position)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return index.mapInArrow(run, "doc_id bigint, ids array<bigint>")
