@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from barlab.session import materialize
@@ -180,6 +181,22 @@ def local_minima(hashes: np.ndarray, usable: np.ndarray, width: int) -> np.ndarr
     return np.flatnonzero((best == hashes) & (best > 0))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an integer array: byte planes, since neighbouring values share their high bytes."""
+    if not len(values):
+        return b""
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
 def bucket_of(keys: np.ndarray, count: int) -> np.ndarray:
     """Bucket of a hash; rises with the hash, so sorted keys are grouped by bucket."""
     return (((keys >> U64(32)) * U64(count)) >> U64(32)).astype(np.int64)
