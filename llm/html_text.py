@@ -79,8 +79,21 @@ class Tree:
         return self.leaf
 
 
+#: Neighbours (words and links before, words and links after) among which a block with telling markup keeps its label.
+NEIGHBOURS = ((0, 0.0, 0, 0.0), (1, 1.0, 1, 1.0), (8, 0.0, 60, 0.0), (60, 0.0, 5, 0.0), (90, 0.0, 80, 0.0), (3, 1.0, 50, 0.0), (40, 0.1, 2, 1.0), (5, 0.0, 4, 0.3))
+
+
+def labelled_table() -> np.ndarray:
+    """The labelled blocks; those whose markup decides are repeated with every kind of neighbour."""
+    rows = list(LABELLED)
+    for words, links, *_, boiler, article, heading, label in LABELLED:
+        if boiler or article:
+            rows += [(words, links, *around, boiler, article, heading, label) for around in NEIGHBOURS]
+    return np.array(rows, float)
+
+
 def grown_tree() -> Tree:
-    table = np.array(LABELLED, float)
+    table = labelled_table()
     return Tree(table[:, :-1], table[:, -1])
 
 
