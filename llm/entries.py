@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from llm import decontamination, html_text, lm_scoring, mixing, token_records, topk_search, toxicity  # noqa: F401
+from llm import decontamination, html_text, lm_scoring, lz_dedup, mixing, suffix_dedup, token_records, topk_search, toxicity  # noqa: F401
 from llm.registry import ORACLES, QUERIES  # noqa: F401
