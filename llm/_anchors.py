@@ -59,6 +59,10 @@ class Job:
         """Hashes of the anchors in block order, and the block's state."""
         raise NotImplementedError
 
+    def hashes(self, state: list[bytes]) -> np.ndarray:
+        """The anchors' hashes again, from the state: cheaper than to carry them."""
+        raise NotImplementedError
+
     def surroundings(self, state: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
         """Keys and columns of the rows to send (in the order of the mask to come), and the new state."""
         raise NotImplementedError
@@ -74,16 +78,16 @@ class Job:
     kinds: list[tuple[type, int]] = []
 
 
-def run(docs: DataFrame, make: Callable[[], Job], id_col: str, text_col: str) -> DataFrame:
+def run(docs: DataFrame, make: Callable[[], Job], id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     many, result = buckets(docs.sparkSession), make().result
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         job, block = make(), new_block_id()
-        for part in text_blocks(batches):
+        for part in text_blocks(batches, block_bytes):
             hashes, state = job.anchors(part)
             keys, counts = np.unique(hashes, return_counts=True)
             rows = by_bucket(block, many, keys, [np.minimum(counts, 2).astype(np.uint8)])
-            yield as_batch([*rows, (block, block % many, None, [pack(hashes), *state])])
+            yield as_batch([*rows, (block, block % many, None, state)])
             block += 1
 
     def mark(table: pa.Table) -> pa.Table:
@@ -100,10 +104,10 @@ def run(docs: DataFrame, make: Callable[[], Job], id_col: str, text_col: str) ->
         job = make()
         own, rows = split(table)
         block, parts = own.column("block")[0].as_py(), own.column("parts")[0].as_py()
-        hashes = unpack(parts[0], U64)
+        hashes = job.hashes(parts)
         flags = np.concatenate([unpack(p[0], np.uint8) for p in rows.sort_by("bucket").column("parts").to_pylist()]).astype(bool)
         shared = flags[np.searchsorted(np.unique(hashes), hashes)] if len(hashes) else np.zeros(0, bool)
-        keys, columns, state = job.surroundings([parts[0], *parts[1:]], shared)
+        keys, columns, state = job.surroundings(parts, shared)
         order = np.argsort(keys, kind="stable")
         out = by_bucket(block, many, keys[order], [c[order] for c in columns])
         return pa.Table.from_batches([as_batch([*out, (block, block % many, None, [pack(order.astype(np.int64)), *state])])])

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import _anchors
-from llm._common import NOT_WHITE, U64, Block, hash_runs, hash_spans, local_minima, mix, pack, read, unpack, words
+from llm._common import BLOCK_BYTES, NOT_WHITE, U64, Block, hash_runs, hash_spans, local_minima, mix, pack, read, unpack, words
 from llm.registry import query
 
 LENGTH = 35
@@ -51,12 +51,18 @@ class ParseJob(_anchors.Job):
         text = zstandard.ZstdCompressor(level=1).compress(block.data.tobytes())
         return grams[places], [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
 
+    def hashes(self, state):
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(state[2]), np.uint8) if len(state[2]) else np.zeros(0, np.uint8)
+        starts, ends, self.before = words(self.data, np.frombuffer(state[1], np.int64), NOT_WHITE)
+        self.values = hash_spans(self.data, starts, ends)
+        self.places = unpack(state[0], np.int64)
+        self.found = hash_runs(self.values, GRAM)[self.places]
+        return self.found
+
     def surroundings(self, state, shared):
-        hashes, places, offsets, text, ids, nulls = state
-        hashes, places, offsets = unpack(hashes, U64)[shared], unpack(places, np.int64)[shared], np.frombuffer(offsets, np.int64)
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
-        starts, ends, before = words(data, offsets, NOT_WHITE)
-        values = (hash_spans(data, starts, ends) >> U64(32)).astype(np.uint32)
+        _, offsets, text, ids, nulls = state
+        hashes, places, offsets, data, before = self.found[shared], self.places[shared], np.frombuffer(offsets, np.int64), self.data, self.before
+        values = (self.values >> U64(32)).astype(np.uint32)
         counts = np.diff(before)
         doc = np.searchsorted(before, places, "right") - 1
         pending = np.zeros(len(counts), bool)
@@ -65,9 +71,10 @@ class ParseJob(_anchors.Job):
         left = np.minimum(places - before[doc], SIDE)
         right = np.minimum(before[doc + 1] - places - GRAM, SIDE)
         wide = np.concatenate([np.zeros(SIDE, np.uint32), values, np.zeros(SIDE, np.uint32)])
-        step = np.arange(SIDE)
-        lefts = np.where(step < left[:, None], wide[places[:, None] + SIDE - 1 - step], 0).astype(np.uint32)
-        rights = np.where(step < right[:, None], wide[places[:, None] + SIDE + GRAM + step], 0).astype(np.uint32)
+        step, windows = np.arange(SIDE), np.lib.stride_tricks.sliding_window_view(wide, SIDE)
+        lefts, rights = windows[places][:, ::-1].copy(), windows[places + SIDE + GRAM].copy()
+        lefts[step >= left[:, None]] = 0
+        rights[step >= right[:, None]] = 0
         room = np.column_stack([left, right]).astype(np.uint8)
         if len(places):
             first, where, sizes = _anchors.first_equal(hashes, lefts, rights, room)
@@ -152,7 +159,7 @@ def running(keys: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
-    return _anchors.run(docs, ParseJob, id_col, text_col)
+    return _anchors.run(docs, ParseJob, id_col, text_col, BLOCK_BYTES)
 
 
 @query("op9_lz_dedup")

@@ -36,6 +36,7 @@ from llm.registry import query
 LENGTH = 100
 GRAM = 50
 SIDE = LENGTH - GRAM
+BLOCK = 8 << 20
 
 
 def by_id(block: Block) -> Block:
@@ -111,10 +112,15 @@ class SuffixJob(_anchors.Job):
         text = zstandard.ZstdCompressor(level=1).compress(block.data.tobytes())
         return hashes, [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
 
+    def hashes(self, state):
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(state[2]), np.uint8) if len(state[2]) else np.zeros(0, np.uint8)
+        self.places = unpack(state[0], np.int64)
+        self.found = hash_spans(self.data, self.places, self.places + GRAM)
+        return self.found
+
     def surroundings(self, state, shared):
-        hashes, places, offsets, text, ids, nulls = state
-        hashes, places, offsets = unpack(hashes, U64)[shared], unpack(places, np.int64)[shared], np.frombuffer(offsets, np.int64)
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+        _, offsets, text, ids, nulls = state
+        hashes, places, offsets, data = self.found[shared], self.places[shared], np.frombuffer(offsets, np.int64), self.data
         doc = np.searchsorted(offsets, places, "right") - 1
         pending = np.zeros(len(offsets) - 1, bool)
         pending[doc] = True
@@ -122,9 +128,10 @@ class SuffixJob(_anchors.Job):
         left = np.minimum(places - offsets[doc], SIDE)
         right = np.minimum(offsets[doc + 1] - places - GRAM, SIDE)
         wide = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
-        step = np.arange(SIDE)
-        before = np.where(step < left[:, None], wide[places[:, None] + SIDE - 1 - step], 0).astype(np.uint8)
-        after = np.where(step < right[:, None], wide[places[:, None] + SIDE + GRAM + step], 0).astype(np.uint8)
+        step, windows = np.arange(SIDE), np.lib.stride_tricks.sliding_window_view(wide, SIDE)
+        before, after = windows[places][:, ::-1].copy(), windows[places + SIDE + GRAM].copy()
+        before[step >= left[:, None]] = 0
+        after[step >= right[:, None]] = 0
         room = np.column_stack([left, right]).astype(np.uint8)
         if len(places):
             first, where, _ = _anchors.first_equal(hashes, before, after, room)
@@ -196,7 +203,7 @@ class SuffixJob(_anchors.Job):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    return _anchors.run(docs, SuffixJob, id_col, text_col)
+    return _anchors.run(docs, SuffixJob, id_col, text_col, BLOCK)
 
 
 @query("op1_suffix_dedup")
