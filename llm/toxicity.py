@@ -4,8 +4,9 @@ Categories are predicted one after the other; the model of a category also gets
 probabilities of all earlier ones.  In training those are out-of-fold predictions,
 so that a later model does not trust an earlier one more than it deserves.
 
-1. *Feature choice.*  For every category the features whose presence differs most
-   between its classes, by z-score, over the labelled sample (aggregated in Spark).
+1. *Feature choice.*  Features are words and word prefixes standing at least so many times in a text.
+   Chosen are, per category, those that tell its classes apart best in the labelled sample
+   (aggregated in Spark); for out-of-fold predictions the fold takes no part in the choice.
 2. *Fit.*  L2-regularised logistic models on presence of chosen features, on a
    sample of at most ``max_labelled`` labelled documents (smallest id hashes), which is
    the bound of everything that reaches the driver.
@@ -14,8 +15,8 @@ so that a later model does not trust an earlier one more than it deserves.
 A text counts as toxic when the last category's probability reaches the
 threshold that maximises F1 on out-of-fold predictions.
 
-Null, empty and wordless texts get the models' base probabilities and are never
-toxic.  Repeated rows are judged alike.  Labels that are null do not train their
+Texts without any chosen feature, among them null, empty and wordless ones, get the models'
+base probabilities and are never toxic.  Repeated rows are judged alike.  Labels that are null do not train their
 category; without a labelled row of both classes the category's probability is its share
 (0 where there are none).  Columns named like the added ones are replaced.
 """
@@ -29,37 +30,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm._common import ALNUM, U64, Block, hash_spans, lower, mix, read, text_blocks, words
+from llm._common import ALNUM, U64, Block, hash_spans, lower, mix, read, store, text_blocks, words
 from llm.registry import query
 
 PREFIXES = (4, 5, 6, 7)
-PER_CATEGORY = 1500
+PER_CATEGORY = 150
 FOLDS = 4
 
 
 def block_features(block: Block, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document number, feature hash) pairs, sorted; only features in ``chosen`` (sorted) if given."""
+    """Distinct (document number, feature) pairs, sorted.
+
+    A feature is a hashed word or prefix that stands at least 1, 2, 3 or 4 times in the document; the
+    low two bits tell how often.  With ``chosen`` (sorted) only those, by their number in it.
+    """
     data = lower(block.data)
     starts, ends, before = words(data, block.offsets, ALNUM)
     owner = np.repeat(np.arange(len(block)), np.diff(before))
-    sieve = None
     if chosen is not None:
+        wanted = np.unique(chosen & ~U64(3))
         sieve = np.zeros(1 << 16, bool)
-        sieve[(chosen & U64(0xFFFF)).astype(np.int64)] = True
+        sieve[((wanted >> U64(2)) & U64(0xFFFF)).astype(np.int64)] = True
     docs, features = [], []
     for length in (0, *PREFIXES):
         use = slice(None) if not length else ends - starts > length
         a, b = starts[use], ends[use]
         hashes = hash_spans(data, a, a + length if length else b)
-        if length:
-            hashes = mix(hashes + U64(length))
+        hashes = mix(hashes + U64(length)) & ~U64(3)
         doc = owner[use]
-        if sieve is not None:
-            hit = sieve[(hashes & U64(0xFFFF)).astype(np.int64)]
+        if chosen is not None:
+            hit = sieve[((hashes >> U64(2)) & U64(0xFFFF)).astype(np.int64)]
+            hashes, doc = hashes[hit], doc[hit]
+            hit = np.isin(hashes, wanted)
             hashes, doc = hashes[hit], doc[hit]
-            place = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
-            hit = chosen[place] == hashes if len(chosen) else np.zeros(len(hashes), bool)
-            hashes, doc = place[hit].astype(U64), doc[hit]
         docs.append(doc)
         features.append(hashes)
     doc, feature = np.concatenate(docs), np.concatenate(features)
@@ -67,43 +70,62 @@ def block_features(block: Block, chosen: np.ndarray | None = None) -> tuple[np.n
     doc, feature = doc[order], feature[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])
-    return doc[new], feature[new]
+    firsts = np.flatnonzero(new)
+    levels = np.minimum(np.diff(np.append(firsts, len(doc))), 4)
+    doc, feature = np.repeat(doc[firsts], levels), np.repeat(feature[firsts], levels)
+    feature = feature + (np.arange(len(doc)) - np.repeat(np.cumsum(levels) - levels, levels)).astype(U64)
+    if chosen is not None:
+        place = np.searchsorted(chosen, feature)
+        place[place == len(chosen)] = 0
+        hit = chosen[place] == feature if len(chosen) else np.zeros(len(feature), bool)
+        doc, feature = doc[hit], place[hit].astype(U64)
+    return doc, feature
 
 
-def choose_features(sample: DataFrame, categories: list[str]) -> np.ndarray:
-    """Sorted hashes of the features that tell a category's classes apart best."""
+def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted features, and for every fold (then for none) which of them are chosen without looking at it.
+
+    A category's features are those whose presence differs most between its classes by z-score.
+    """
+    size = len(categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = [batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(categories))]
-            done = 0
+            cell = batch.column(2).to_numpy().astype(np.int64)  # fold, then per category: no, yes, unknown
+            for i in range(size):
+                label = batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float)
+                cell = cell * 3 + np.where(np.isnan(label), 2, label > 0.5).astype(np.int64)
+            done, cells = 0, FOLDS * 3**size
             for block in text_blocks(iter([batch])):
                 doc, feature = block_features(block)
                 values, where = np.unique(feature, return_inverse=True)
-                columns = [pa.array(values.view(np.int64))]
-                for label in labels:
-                    y = label[done : done + len(block)][doc]
-                    known = ~np.isnan(y)
-                    columns.append(pa.array(np.bincount(where[known], y[known], minlength=len(values)).astype(np.int64)))
-                    columns.append(pa.array(np.bincount(where[known], minlength=len(values))))
+                both, n = np.unique(where * cells + cell[done : done + len(block)][doc], return_counts=True)
                 done += len(block)
-                yield pa.RecordBatch.from_arrays(columns, ["feature", *names])
-
-    names = [f"{kind}{i}" for i in range(len(categories)) for kind in ("pos", "all")]
-    counted = sample.select("doc_id", "text", *categories).mapInArrow(count, "feature bigint, " + ", ".join(f"{n} bigint" for n in names))
-    sums = counted.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
-    totals = sample.agg(*[x for i, c in enumerate(categories) for x in (F.sum(c).alias(f"p{i}"), F.count(c).alias(f"n{i}"))]).first()
-    chosen: set[int] = set()
-    for i in range(len(categories)):
-        p, n = totals[f"p{i}"] or 0, totals[f"n{i}"]
-        if not 0 < p < n:
-            continue
-        mean = F.col(f"all{i}") / F.lit(float(n))
-        difference = F.col(f"pos{i}") / F.lit(float(p)) - (F.col(f"all{i}") - F.col(f"pos{i}")) / F.lit(float(n - p))
-        z = F.abs(difference) / F.sqrt(mean * (1 - mean) * (1.0 / p + 1.0 / (n - p)) + 1e-9)
-        best = sums.filter(f"all{i} >= 3").orderBy(F.desc(z), "feature").limit(PER_CATEGORY).select("feature").collect()
-        chosen.update(row.feature for row in best)
-    return np.sort(np.array(sorted(chosen), np.int64).view(U64))
+                yield pa.RecordBatch.from_arrays([pa.array(values[both // cells].view(np.int64)), pa.array(both % cells), pa.array(n)], ["feature", "cell", "n"])
+
+    counted = sample.select("doc_id", "text", "fold", *categories).mapInArrow(count, "feature bigint, cell bigint, n bigint")
+    fold = F.floor(F.col("cell") / 3**size)
+    code = [F.floor(F.col("cell") / 3 ** (size - 1 - i)) % 3 for i in range(size)]
+    cells = [(i, k) for i in range(size) for k in range(FOLDS)]
+    part = lambda k, test: F.sum(F.when((fold == k) & test, F.col("n")).otherwise(0))
+    sums = counted.groupBy("feature").agg(*[part(k, code[i] == 1).alias(f"pos{i}_{k}") for i, k in cells], *[part(k, code[i] < 2).alias(f"all{i}_{k}") for i, k in cells])
+    sums = store(sums.filter(sum(F.col(f"all{i}_{k}") for i, k in cells) >= 3 * size), "toxicity-features")
+    totals = {(r.fold, i): (r[f"p{i}"] or 0, r[f"n{i}"]) for r in sample.groupBy("fold").agg(*[x for i, c in enumerate(categories) for x in (F.sum(c).alias(f"p{i}"), F.count(c).alias(f"n{i}"))]).collect() for i in range(size)}
+    picked: list[set[int]] = []
+    for left_out in (*range(FOLDS), None):
+        picked.append(set())
+        for i in range(size):
+            folds = [k for k in range(FOLDS) if k != left_out]
+            p, n = (sum(totals.get((k, i), (0, 0))[j] for k in folds) for j in (0, 1))
+            if not 0 < p < n:
+                continue
+            positive, every = (sum(F.col(f"{kind}{i}_{k}") for k in folds) for kind in ("pos", "all"))
+            mean = every / F.lit(float(n))
+            difference = positive / F.lit(float(p)) - (every - positive) / F.lit(float(n - p))
+            z = F.abs(difference) / F.sqrt(mean * (1 - mean) * (1.0 / p + 1.0 / (n - p)) + 1e-9)
+            picked[-1].update(r.feature for r in sums.filter(every >= 3).orderBy(F.desc(z), "feature").limit(PER_CATEGORY).select("feature").collect())
+    chosen = np.sort(np.array(sorted(set().union(*picked)), np.int64).view(U64))
+    return chosen, [np.isin(chosen, np.array(sorted(x), np.int64).view(U64)) for x in picked]
 
 
 class Linear:
@@ -142,13 +164,14 @@ class Chain:
     def __init__(self, categories: list[str], chosen: np.ndarray, models: list[Linear], threshold: float):
         self.categories, self.chosen, self.models, self.threshold = categories, chosen, models, threshold
 
-    def predict(self, block: Block) -> np.ndarray:
+    def predict(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and which documents show any chosen feature."""
         doc, feature = block_features(block, self.chosen)
         dense = np.zeros((len(block), 0))
         for model in self.models:
             p = model.predict(doc, feature.astype(np.int64), len(block), dense)
             dense = np.column_stack([dense, p])
-        return dense
+        return dense, np.bincount(doc, minlength=len(block)) > 0
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -161,13 +184,14 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0.0)) / 2)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = 12_000) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = 6_000) -> Chain:
     """Fit on at most ``max_labelled`` labelled rows.  ``categories``: name to a 0/1 expression over ``labels``, in order."""
     names = list(categories)
     known = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", *[c.cast("double").alias(n) for n, c in categories.items()])
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(max_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_labelled short rows
-    chosen = choose_features(sample, names)
+    picked = picked.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    sample = store(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxicity-sample")  # at most max_labelled short rows
+    chosen, picks = choose_features(sample, names)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +201,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                 cut = np.searchsorted(doc, np.arange(len(block) + 1))
                 rows = pa.array([feature[a:b].astype(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))
                 part = batch.slice(done, len(block))
-                yield pa.RecordBatch.from_arrays([part.column(0), rows, *[part.column(2 + i) for i in range(len(names))]], ["doc_id", "features", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), rows, *part.columns[2:]], ["doc_id", "features", "fold", *names])
                 done += len(block)
 
-    rows = sample.select("doc_id", "text", *names).mapInArrow(compact, "doc_id bigint, features array<bigint>, " + ", ".join(f"`{n}` double" for n in names)).toArrow()
+    rows = sample.select("doc_id", "text", "fold", *names).mapInArrow(compact, "doc_id bigint, features array<bigint>, fold int, " + ", ".join(f"`{n}` double" for n in names)).toArrow()
     order = np.argsort(np.array(rows.column("doc_id").to_pylist(), np.int64), kind="stable")
     features = [np.array(x, np.int64) for x in rows.column("features").to_pylist()]
     features = [features[i] for i in order]
-    fold = np.arange(len(order)) % FOLDS
+    fold = np.array(rows.column("fold").to_pylist(), np.int64)[order]
     dense, models, threshold = np.zeros((len(order), 0)), [], 0.5
 
-    def pairs(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chosen_rows = [features[i] for i in which]
+    def pairs(which: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen_rows = [features[i][pick[features[i]]] for i in which]
         return np.repeat(np.arange(len(which)), [len(x) for x in chosen_rows]), np.concatenate([*chosen_rows, np.zeros(0, np.int64)])
 
     for name in names:
@@ -197,9 +221,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         p = np.zeros(len(y))
         for k in range(FOLDS):
             train, out = np.flatnonzero(usable & (fold != k)), np.flatnonzero(fold == k)
-            p[out] = Linear.fit(*pairs(train), dense[train], y[train], len(chosen)).predict(*pairs(out), len(out), dense[out])
+            p[out] = Linear.fit(*pairs(train, picks[k]), dense[train], y[train], len(chosen)).predict(*pairs(out, picks[k]), len(out), dense[out])
         train = np.flatnonzero(usable)
-        models.append(Linear.fit(*pairs(train), dense[train], y[train], len(chosen)))
+        models.append(Linear.fit(*pairs(train, picks[-1]), dense[train], y[train], len(chosen)))
         if len(train):
             threshold = best_threshold(p[train], y[train])
         dense = np.column_stack([dense, p])
@@ -221,10 +245,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             done = 0
             text = batch.column(position)
             for block in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), text], ["row", "text"])])):
-                p = chain.predict(block)
+                p, shown = chain.predict(block)
                 part = batch.slice(done, len(block))
                 done += len(block)
-                toxic = (p[:, -1] >= chain.threshold) & (np.diff(block.offsets) > 0) if p.shape[1] else np.zeros(len(block), bool)
+                toxic = (p[:, -1] >= chain.threshold) & shown
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(toxic)], [*kept, *names, "toxic"])
 
     return plain.mapInArrow(run, ", ".join([fields, *[f"`{n}` double" for n in names], "toxic boolean"]))
