@@ -269,7 +269,7 @@ def find_links(members: DataFrame, parts: int) -> DataFrame:
             out += [(int(sid[a + i]), int(sid[a + j])) for i, j in links(sets, component[a:b], asks[a:b])]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return members.withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(parts))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
+    return members.withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(parts))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,10 +293,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if not lost.isEmpty():
             # Outsiders in blocks of their own, each against every chunk of their hub.
             blocks = store(lost.groupBy("hub").count().select("hub", F.ceil(F.col("count") / CHUNK).cast("int").alias("blocks")), "jaccard-lost")
-            wide = F.lit(1 << 20)
+            wide = F.lit(1 << 32)
             asking = lost.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")))
-            asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)) + F.col("block").cast("bigint") * wide)
-            asked = named.join(blocks, "hub").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint") * wide + F.col("home")).withColumn("asks", F.lit(False))
+            asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", F.col("chunk") + F.col("block") * wide)
+            asked = named.join(blocks, "hub").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.col("chunk") * wide + F.col("home")).withColumn("asks", F.lit(False))
             columns = ["hub", "chunk", "sid", "tokens", "component", "asks"]
             more = find_links(asking.select(columns).unionByName(asked.select(columns)), parts)
             edges = store(edges.unionByName(more), "jaccard-links")
