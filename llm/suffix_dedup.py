@@ -36,7 +36,7 @@ from llm.registry import query
 LENGTH = 100
 GRAM = 50
 SIDE = LENGTH - GRAM
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def by_id(block: Block) -> Block:
@@ -54,16 +54,15 @@ def sampled(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the cover and the hashes of the strings there."""
     places, hashes = [], []
     n = len(block.data) - GRAM + 1
-    room = np.diff(block.offsets)
-    last = np.repeat(block.offsets[1:], room)  # end of each byte's document
-    long = np.repeat(room >= LENGTH, room)
-    step = SEGMENT // 2
+    offsets, step = block.offsets, SEGMENT // 2
     for start in range(0, max(n, 0), step):
         # Overlap on both sides, so that every window is seen whole in one piece.
         a, b = max(0, start - SIDE), min(n, start + step + SIDE)
         at = np.arange(a, b)
+        doc = np.searchsorted(offsets, at, "right")
+        usable = (at + GRAM <= offsets[doc]) & (offsets[doc] - offsets[doc - 1] >= LENGTH)
         value = hash_spans(block.data, at, at + GRAM)
-        found = local_minima(value, (at + GRAM <= last[a:b]) & long[a:b], SIDE + 1)
+        found = local_minima(value, usable, SIDE + 1)
         keep = (found + a >= start) & (found + a < start + step)
         places.append(found[keep] + a)
         hashes.append(value[found[keep]])
