@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import U64, Block, buckets, cuts, new_block_id, pack, text_blocks, unpack
+from llm._common import U64, Block, buckets, cuts, mix, new_block_id, pack, text_blocks, unpack
 
 ROW = "block bigint, bucket int, keys binary, parts array<binary>"
 NAMES = ["block", "bucket", "keys", "parts"]
@@ -85,7 +85,7 @@ def run(docs: DataFrame, make: Callable[[], Job], id_col: str, text_col: str, bl
         job, block = make(), new_block_id()
         for part in text_blocks(batches, block_bytes):
             hashes, state = job.anchors(part)
-            keys, counts = np.unique(hashes, return_counts=True)
+            keys, counts = np.unique(mix(hashes), return_counts=True)  # minima are small numbers: spread them over all buckets
             rows = by_bucket(block, many, keys, [np.minimum(counts, 2).astype(np.uint8)])
             yield as_batch([*rows, (block, block % many, None, state)])
             block += 1
@@ -104,10 +104,11 @@ def run(docs: DataFrame, make: Callable[[], Job], id_col: str, text_col: str, bl
         job = make()
         own, rows = split(table)
         block, parts = own.column("block")[0].as_py(), own.column("parts")[0].as_py()
-        hashes = job.hashes(parts)
+        hashes = mix(job.hashes(parts))
         flags = np.concatenate([unpack(p[0], np.uint8) for p in rows.sort_by("bucket").column("parts").to_pylist()]).astype(bool)
         shared = flags[np.searchsorted(np.unique(hashes), hashes)] if len(hashes) else np.zeros(0, bool)
         keys, columns, state = job.surroundings(parts, shared)
+        keys = mix(keys)
         order = np.argsort(keys, kind="stable")
         out = by_bucket(block, many, keys[order], [c[order] for c in columns])
         return pa.Table.from_batches([as_batch([*out, (block, block % many, None, [pack(order.astype(np.int64)), *state])])])
