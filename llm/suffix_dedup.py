@@ -108,7 +108,7 @@ class SuffixJob(_anchors.Job):
     def anchors(self, block: Block) -> tuple[np.ndarray, list[bytes]]:
         block = by_id(block)
         places, hashes = sampled(block)
-        text = zstandard.ZstdCompressor(level=1).compress(block.data.tobytes())
+        text = zstandard.ZstdCompressor(level=6).compress(block.data.tobytes())
         return hashes, [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
 
     def hashes(self, state):
@@ -146,7 +146,7 @@ class SuffixJob(_anchors.Job):
         kept = data[np.repeat(pending, np.diff(offsets))]
         new = [
             pack(moved[doc] + places - offsets[doc]), pack(where), pack(again), room.tobytes(), moved.astype(np.int64).tobytes(), np.asarray(offsets, np.int64).tobytes(),
-            zstandard.ZstdCompressor(level=1).compress(kept.tobytes()), b"".join(digests), pending.tobytes(), ids, nulls,
+            zstandard.ZstdCompressor(level=6).compress(kept.tobytes()), b"".join(digests), pending.tobytes(), ids, nulls,
         ]
         return hashes[first], columns, new
 
