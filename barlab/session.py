@@ -31,13 +31,16 @@ def build_session(app: str = "barlab", master: str | None = None, **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is
-    made and remembered in the session.
+    Only where all tasks run in the driver's process (a ``local`` master: tests, benches) may
+    it be unset; then a temporary folder is made and remembered in the session.  On a cluster
+    every machine would write to a disk of its own, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.barlab.localFolder", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set("spark.barlab.localFolder", folder)
     return folder.rstrip("/")

@@ -21,12 +21,16 @@ def union_results(parts: list[DataFrame]) -> DataFrame:
     return merged
 
 
-def append_results(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """Append rows in the fixed column order; absent columns become NULL."""
-    present = set(rows.columns)
-    rows.select(
-        *[F.col(c) if c in present else F.lit(None).cast("string").alias(c) for c in columns]
-    ).write.mode("append").parquet(path)
+def append_results(rows: DataFrame, path: str, columns: list[str], types: dict[str, str] | None = None) -> None:
+    """Append rows in the fixed column order; absent columns become NULL of their type in ``types``.
+
+    A type must be named for each absent column, so that parts with and without it can be read together.
+    """
+    present, types = set(rows.columns), types or {}
+    if untyped := [c for c in columns if c not in present and c not in types]:
+        raise ValueError(f"no type for absent columns: {', '.join(untyped)}")
+    picked = [F.col(c).cast(types[c]) if c in present and c in types else F.col(c) if c in present else F.lit(None).cast(types[c]) for c in columns]
+    rows.select(*[column.alias(c) for column, c in zip(picked, columns)]).write.mode("append").parquet(path)
 
 
 def save_book(book, root: str) -> None:

@@ -195,14 +195,15 @@ def a13(spark, sf):
 
 @query(
     "a14_result_append",
-    f"SELECT config_hash, total_trades, {r('net_pnl')} AS net_pnl, NULL::VARCHAR AS absent FROM ({RESULTS})",
+    f"SELECT config_hash, total_trades, {r('net_pnl')} AS net_pnl, CASE WHEN timeframe = '4h' THEN {r('net_pnl')} END AS late FROM ({RESULTS})",
 )
 def a14(spark, sf):
     path = scratch(spark) + "/results"
     rows = results(spark, sf)
-    for half in (rows.where("timeframe = '1h'"), rows.where("timeframe = '4h'")):
-        append_results(half, path, ["config_hash", "total_trades", "net_pnl", "absent"])
-    return spark.read.parquet(path).join(completed_hashes(spark, path), "config_hash")
+    # The first part lacks a column that the second has.
+    for half in (rows.where("timeframe = '1h'").drop("late"), rows.where("timeframe = '4h'").withColumn("late", F.col("net_pnl"))):
+        append_results(half, path, ["config_hash", "total_trades", "net_pnl", "late"], {"late": "double"})
+    return read_results(spark, path).join(completed_hashes(spark, path), "config_hash")
 
 
 @query(

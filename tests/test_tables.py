@@ -247,7 +247,7 @@ def test_resume_parts(spark, tmp_path):
     results, log = str(tmp_path / "results"), str(tmp_path / "failed")
     assert completed_hashes(spark, results).count() == 0 and failed_hashes(spark, log).count() == 0
     hashes = [r.config_hash for r in in_matrix_order(matrix).collect()]
-    append_results(matrix.where(F.col("config_hash") == hashes[0]).select("config_hash"), results, ["config_hash", "net_pnl"])
+    append_results(matrix.where(F.col("config_hash") == hashes[0]).select("config_hash"), results, ["config_hash", "net_pnl"], {"net_pnl": "double"})
     append_failures(spark.createDataFrame([(hashes[1], "{}", "boom", "now"), ("", "{}", "blank", "now")], "config_hash STRING, config STRING, error STRING, timestamp STRING"), log)
     with open(f"{log}/extra.json", "w") as handle:
         handle.write("\nnot json\n")
