@@ -65,8 +65,9 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, power: float =
     """All columns of every copy, with ``replica`` (from 0) and ``shuffle_key``, unordered."""
     rates = source_rates(docs, weights, power, source_col, text_col).withColumnRenamed("source", "_source")
     placed = docs.drop("replica", "shuffle_key", "_source").join(rates, F.col(source_col).eqNullSafe(F.col("_source")))
-    draw = lambda piece: F.size(F.filter("cdf", lambda c: c <= unit(hashed(seed, "count", F.col(id_col), piece))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("pieces")), F.lit(0), lambda total, piece: total + draw(piece))
+    # Every piece is hashed once, then compared with the whole distribution function.
+    drawn = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda piece: unit(hashed(seed, "count", F.col(id_col), piece)))
+    count = F.aggregate(drawn, F.lit(0), lambda total, u: total + F.size(F.filter("cdf", lambda c: c <= u)))
     copies = placed.withColumn("_copies", count).filter("_copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     return copies.withColumn("shuffle_key", hashed(seed, "order", F.col(id_col), F.col("replica"))).drop("_source", "rate", "pieces", "cdf", "_copies")
 
