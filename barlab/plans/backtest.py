@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
@@ -49,6 +50,27 @@ class Book:
         return run_metrics(self.runs, self.trades, curve)
 
 
+@dataclass
+class SlicedBook(Book):
+    """A book kept over named data windows, shown under the plain pairs."""
+
+    kept: Book | None = None
+    plain: Callable[[DataFrame], DataFrame] | None = None
+
+    @classmethod
+    def of(cls, book: Book, plain: Callable[[DataFrame], DataFrame]) -> SlicedBook:
+        shown = replace(book, **{name: plain(getattr(book, name)) for name in ("runs", "rejected", "bars", "trades")})
+        return cls(**{f.name: getattr(shown, f.name) for f in fields(Book)}, kept=book, plain=plain)
+
+    @property
+    def equity(self) -> DataFrame:
+        return self.plain(self.kept.equity)
+
+    @property
+    def metrics(self) -> DataFrame:
+        return self.plain(self.kept.metrics)
+
+
 def keep_book(
     bars: DataFrame,
     signal_rows: DataFrame,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlab.functions.timeframes import within
+from barlab.operators.quality import validate_stored
 from barlab.operators.resample import bars_to_all_bars, requested, targets_for, ticks_to_all_bars
 from barlab.schemas import SERIES, TARGET_PAIRS
-from barlab.sources.candles import outputs_to_build, write_candles
+from barlab.session import materialize
+from barlab.sources.candles import outputs_to_build, remove_series, write_candles
 from barlab.sources.catalogue import bar_files, choose_sources, list_files, prune_by_year, tick_files
 from barlab.sources.ticks import normalize_bars, normalize_ticks
 
@@ -51,32 +54,64 @@ def build_store(
     end: str | None = None,
     source_timeframe: str | None = None,
     overwrite: bool = True,
-    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """Build the store and return (pair, timeframe, source_timeframe) of what was requested.
+    """Build the store; one row per asked (pair, timeframe): pair, timeframe, source_timeframe, status, reason.
 
-    The path list of one (pair, source) goes through the driver as reader
-    arguments, as any file listing does; rows never do.  With
-    ``overwrite=False`` valid outputs in ``existing`` are kept.
+    ``built``: written.  ``skipped``: a valid output is there and ``overwrite`` is off.  ``empty``: the source has no row
+    in the window; an older output is removed.  ``unservable``: the source is coarser.  ``no_source``: no file was found.
+
+    The path list of one (pair, source) goes through the driver as reader arguments, as any file listing does; rows never do.
     """
-    root = input_root.rstrip("/")
+    root, names = input_root.rstrip("/"), requested(timeframes)
     chosen = choose_files(spark, root, pairs=pairs, start=start, end=end, source_timeframe=source_timeframe)
-    sources = chosen.groupBy("pair", "source_kind", "source_timeframe").agg(F.collect_list("path").alias("paths"))
+    sources = {row.pair: row for row in chosen.groupBy("pair", "source_kind", "source_timeframe").agg(F.collect_list("path").alias("paths")).collect()}
+    every = [pair for pair in dict.fromkeys([*pairs, *sources])]
+    asked = [(pair, tf) for pair in every if pair in sources for tf in targets_for(sources[pair].source_timeframe, names)]
+    stored = _stored(spark, output_root)
+    todo, checked = set(asked), {}
+    if asked and not overwrite and stored is not None:
+        table = spark.createDataFrame(asked, "pair STRING, timeframe STRING")
+        todo = {tuple(row) for row in outputs_to_build(table, stored.join(table, SERIES, "left_semi")).select(*SERIES).collect()}
     built = None
-    for source in sources.collect():
-        wanted = targets_for(source.source_timeframe, requested(timeframes))
-        if not overwrite and existing is not None:
-            asked = spark.createDataFrame([(source.pair, tf) for tf in wanted], "pair STRING, timeframe STRING")
-            wanted = requested([row.timeframe for row in outputs_to_build(asked, existing).collect()]) if wanted else []
+    for pair, source in sources.items():
+        wanted = [tf for name, tf in asked if name == pair and (name, tf) in todo]
         if not wanted:
             continue
-        rows = spark.read.parquet(*[f"{root}/{path}" for path in source.paths]).withColumn("pair", F.lit(source.pair))
+        rows = spark.read.parquet(*[f"{root}/{path}" for path in source.paths]).withColumn("pair", F.lit(pair))
         if source.source_kind == "ticks":
             bars = build_from_ticks(rows, wanted, start, end)
         else:
             bars = build_from_bars(rows, source.source_timeframe, wanted, start, end)
         built = bars if built is None else built.unionByName(bars)
     if built is not None:
-        write_candles(built, output_root)
-    every = F.explode(F.array(*[F.lit(tf) for tf in requested(timeframes)]))
-    return sources.select("pair", every.alias("timeframe"), "source_timeframe").select(*SERIES, "source_timeframe")
+        bars = materialize(built, "built")
+        checked = {(row.pair, row.timeframe): row for row in validate_stored(bars).collect()}
+        write_candles(bars, output_root)
+        for pair, timeframe in todo - set(checked):
+            remove_series(spark, output_root, pair, timeframe)
+    outcomes = []
+    for pair in every:
+        source = sources.get(pair)
+        for tf in names:
+            row = checked.get((pair, tf))
+            if source is None:
+                outcome = ("no_source", "no source file for this pair and window")
+            elif (pair, tf) not in asked:
+                outcome = ("unservable", f"source bars of {source.source_timeframe} are coarser")
+            elif (pair, tf) not in todo:
+                outcome = ("skipped", "valid output kept")
+            elif row is None:
+                outcome = ("empty", "no source rows in the window")
+            else:
+                outcome = ("built" if row.valid else "failed", row.message)
+            outcomes.append((pair, tf, source.source_timeframe if source else None, *outcome))
+    return spark.createDataFrame(outcomes, "pair STRING, timeframe STRING, source_timeframe STRING, status STRING, reason STRING")
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None

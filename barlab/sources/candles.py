@@ -79,6 +79,12 @@ def write_candles(bars: DataFrame, root: str, *, mode: str = "overwrite") -> Non
     )
 
 
+def remove_series(spark: SparkSession, root: str, pair: str, timeframe: str) -> None:
+    """Drop the stored partition of one series, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/pair={pair}/timeframe={timeframe}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def outputs_to_build(requested: DataFrame, existing: DataFrame | None, *, overwrite: bool = False) -> DataFrame:
     """Requested (pair, timeframe) rows still to build: all, or those without a valid output."""
     if overwrite or existing is None:

@@ -12,7 +12,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barlab.functions.timeframes import utc
+from barlab.functions.timeframes import bucket_start, utc
 from barlab.operators.resample import as_candles, ticks_to_bars
 from barlab.schemas import TIMEFRAME_SECONDS
 
@@ -64,18 +64,40 @@ def run_available(bars: DataFrame, output: str, checkpoint: str) -> StreamingQue
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that arrived behind the watermark and were dropped."""
-    return sum(
-        operator.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
+def late_ticks(ticks: DataFrame, closed: DataFrame, timeframe: str, *, delay: str = "0 seconds") -> DataFrame:
+    """(pair, late) of pairs with ticks that the stream has dropped behind its watermark.
+
+    ``ticks`` is the folder in batch, ``closed`` the stream's output so far.  Every bucket the
+    watermark has passed must hold as many ticks as its bar counts; the excess came late.  Nothing
+    depends on the progress a query remembers, so restarts and any number of batches do no harm.
+    Buckets without any price give no bar and are not counted.
+    """
+    timed = ticks.withColumn("timestamp", utc(F.col("timestamp")))
+    length = F.lit(TIMEFRAME_SECONDS[timeframe])
+    per_bucket = timed.groupBy("pair", bucket_start(F.col("timestamp"), length).alias("start")).agg(
+        F.count(F.lit(1)).alias("ticks"), F.count("mid").alias("priced")
+    )
+    latest = timed.agg((F.max("timestamp") - F.expr(f"INTERVAL {delay}")).alias("passed")).first()["passed"]
+    ended = F.col("start") + F.expr(f"INTERVAL {TIMEFRAME_SECONDS[timeframe]} SECONDS") <= F.lit(latest).cast("timestamp")
+    bars = closed.select("pair", F.col("timestamp").alias("start"), "tick_count")
+    late = F.col("ticks") - F.coalesce("tick_count", F.lit(0))
+    return (
+        per_bucket.where(ended & (F.col("priced") > 0))
+        .join(bars, ["pair", "start"], "left")
+        .groupBy("pair")
+        .agg(F.sum(late).alias("late"))
+        .where("late > 0")
     )
 
 
-def require_in_order(query: StreamingQuery) -> None:
+def late_rows(ticks: DataFrame, closed: DataFrame, timeframe: str, *, delay: str = "0 seconds") -> int:
+    """Ticks that arrived behind the watermark and were dropped."""
+    return late_ticks(ticks, closed, timeframe, delay=delay).agg(F.coalesce(F.sum("late"), F.lit(0))).first()[0]
+
+
+def require_in_order(ticks: DataFrame, closed: DataFrame, timeframe: str, *, delay: str = "0 seconds") -> None:
     """Late or overlapping input must not pass silently."""
-    dropped = late_rows(query)
+    dropped = late_rows(ticks, closed, timeframe, delay=delay)
     if dropped:
         raise ValueError(f"{dropped} late ticks: input is not in order across batches")
 

@@ -212,13 +212,13 @@ def h8(spark, sf):
 RESULT_PROFILES = ["atr12", "atr_trailing", "atr_ma_stop"]
 
 
-def _result_runs() -> list[tuple]:
-    return [(rule, profile, variant) for rule in rules() for profile, variant in variants(RESULT_PROFILES)]
+def _result_runs(profiles: list[str]) -> list[tuple]:
+    return [(rule, profile, variant) for rule in rules() for profile, variant in variants(profiles)]
 
 
-def _result_sql(tail: str) -> str:
+def _result_sql(tail: str, profiles: list[str] = RESULT_PROFILES) -> str:
     settings, feeds, names = [], [], []
-    for k, (rule, profile, variant) in enumerate(_result_runs()):
+    for k, (rule, profile, variant) in enumerate(_result_runs(profiles)):
         run = {**DEFAULT_SETTINGS, **GRID["settings"], **EXIT_PROFILES[profile]}
         if variant == "chandelier":
             run.pop("trailing_stop"), run.pop("trailing_stop_mode")
@@ -284,3 +284,34 @@ def h11(spark, sf):
     done = book.metrics.groupBy("pair").agg(F.count(F.lit(1)).alias("completed"))
     broken = book.rejected.where("error IS NOT NULL").groupBy("pair").agg(F.count(F.lit(1)).alias("failed"))
     return done.join(broken, "pair").select("pair", "completed", "failed")
+
+
+# Windows per config: two that hold bars and one that holds none; dates alone mean whole days.
+# Capital compounds to five digits before the point: four after it are certain on both sides.
+WINDOWED_PROFILES = ["atr12", "atr_ma_stop"]
+WINDOWS = [("2024-01-03", "2024-01-14"), ("2024-01-10 06:00:00", "2024-01-26"), ("2031-01-01", "2031-12-31")]
+_WINDOWED = f"""{D.event_bars('1h', 'all_bars')}, windows AS (SELECT * FROM (VALUES
+    ('{WINDOWS[0][0]}', '{WINDOWS[0][1]}', TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-15'), ('{WINDOWS[1][0]}', '{WINDOWS[1][1]}', TIMESTAMP '2024-01-10 06:00:00', TIMESTAMP '2024-01-27'))
+    v(start_date, end_date, low, high)),
+  bars AS MATERIALIZED (SELECT pair || '@' || start_date || '@' || end_date AS pair, ts, o, h, l, c, n, row_number() OVER (PARTITION BY pair, start_date ORDER BY ts) - 1 AS i
+    FROM all_bars JOIN windows ON ts >= low AND ts < high)"""
+
+
+def _windowed_sql() -> str:
+    shown = f"""SELECT split_part(pair, '@', 1) AS pair, split_part(pair, '@', 2) AS start_date, split_part(pair, '@', 3) AS end_date, split_part(rule, '|', 1) AS ma_types,
+    split_part(rule, '|', 2) AS ma_periods, split_part(rule, '|', 3) AS entry_type, exit_profile, coalesce(variant, 'standard') AS trailing_type,
+    {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in NUMBERS)}, {', '.join(INTEGERS)} FROM metrics JOIN ids USING (k)"""
+    return _result_sql(shown, WINDOWED_PROFILES).replace(D.event_bars("1h"), _WINDOWED, 1)
+
+
+@query("h5_windowed_runs", _windowed_sql())
+def h5_windowed(spark, sf):
+    """Runs over their own windows: bars are cut before averages; a window without bars gives no row."""
+    series = bars(spark, sf, "1h").select("pair", "timeframe").distinct()
+    matrix = None
+    for start, end in WINDOWS:
+        grid = {**GRID, "settings": {**GRID["settings"], "start_date": start, "end_date": end}}
+        part = experiment_matrix(series, exit_profiles=WINDOWED_PROFILES, **grid)
+        matrix = part if matrix is None else matrix.unionByName(part)
+    rows = flatten_results(run_matrix(bars(spark, sf, "1h"), matrix))
+    return rows.select("pair", "start_date", "end_date", "ma_types", "ma_periods", "entry_type", "exit_profile", "trailing_type", *[F.round(c, 4).alias(c) for c in NUMBERS], *INTEGERS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlab.plans.build import build_store
+from barlab.session import materialize
 from barlab.sources.candles import candle_window, outputs_to_build, write_candles
 from barlab.sources.catalogue import bar_files, canonical_files, choose_sources, prune_by_year, tick_files, year_window
 from barlab.sources.results import (
@@ -288,3 +289,56 @@ def a_build(spark, sf):
         ticks.where(F.col("pair") == name).drop("pair").write.parquet(f"{source}/cleaned_ticks/{name}/2024")
     build_store(spark, source, target, pairs=names, timeframes=["1h", "4h", "1d"])
     return spark.read.parquet(target).groupBy("pair", "timeframe").agg(F.count(F.lit(1)).alias("bars"), F.sum("high").alias("highs"))
+
+
+# A first build of everything; then January 2 to 9 only, with the ticks of one pair gone from that window, a shift in
+# one kept output, and a pair without files.
+_FIRST, _LAST = "2024-01-02", "2024-01-09"
+_GONE = f"event_type = 'view' AND ts >= TIMESTAMP '{_FIRST}' AND ts < TIMESTAMP '2024-01-10'"
+
+
+def _rebuild(spark, sf, overwrite: bool):
+    source, target = scratch(spark), scratch(spark) + "/store"
+    ticks = event_ticks(spark, sf).drop("seq")
+    names = [row[0] for row in ticks.select(F.upper("pair")).distinct().collect()]
+    gone = (F.col("pair") == "view") & (F.col("timestamp") >= F.lit(_FIRST).cast("timestamp")) & (F.col("timestamp") < F.lit("2024-01-10").cast("timestamp"))
+    for name in names:
+        ticks.where((F.upper("pair") == name) & ~gone).drop("pair").write.parquet(f"{source}/cleaned_ticks/{name}/2024")
+    build_store(spark, source, target, pairs=names, timeframes=["1h", "4h"])
+    if not overwrite:
+        broken = spark.read.parquet(target).where("pair = 'CLICK' AND timeframe = '4h'").withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 SECOND"))
+        write_candles(materialize(broken, "broken"), target)
+    outcome = build_store(spark, source, target, pairs=[*names, "NOWHERE"], timeframes=["1h", "4h"], start=_FIRST, end=_LAST, overwrite=overwrite)
+    left = spark.read.parquet(target).groupBy("pair", "timeframe").agg(F.count(F.lit(1)).alias("bars"))
+    return outcome.join(left, ["pair", "timeframe"], "left").select("pair", "timeframe", "status", F.coalesce("bars", F.lit(0)).alias("bars"))
+
+
+def _counted(where: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT upper(event_type) AS pair, '{tf}' AS timeframe, count(DISTINCT {D.bucket('ts', tf)}) AS bars FROM events WHERE {where} GROUP BY 1" for tf in ("1h", "4h")
+    )
+
+
+_WINDOW = f"ts >= TIMESTAMP '{_FIRST}' AND ts < TIMESTAMP '2024-01-10' AND NOT ({_GONE})"
+_NOWHERE = "SELECT 'NOWHERE' AS pair, tf AS timeframe, 'no_source' AS status, 0 AS bars FROM (VALUES ('1h'), ('4h')) t(tf)"
+
+
+@query(
+    "a12_empty_window_removed",
+    f"""SELECT a.pair, a.timeframe, CASE WHEN b.bars IS NULL THEN 'empty' ELSE 'built' END AS status, coalesce(b.bars, 0) AS bars
+    FROM ({_counted(f'NOT ({_GONE})')}) a LEFT JOIN ({_counted(_WINDOW)}) b USING (pair, timeframe) UNION ALL {_NOWHERE}""",
+)
+def a12_emptied(spark, sf):
+    """A rebuild whose window holds no tick of a pair removes that pair's older outputs."""
+    return _rebuild(spark, sf, True)
+
+
+@query(
+    "a12_skip_existing",
+    f"""SELECT a.pair, a.timeframe, CASE WHEN a.pair = 'CLICK' AND a.timeframe = '4h' THEN 'built' ELSE 'skipped' END AS status,
+      CASE WHEN a.pair = 'CLICK' AND a.timeframe = '4h' THEN b.bars ELSE a.bars END AS bars
+    FROM ({_counted(f'NOT ({_GONE})')}) a LEFT JOIN ({_counted(_WINDOW)}) b USING (pair, timeframe) UNION ALL {_NOWHERE}""",
+)
+def a12_kept(spark, sf):
+    """Without overwriting, valid outputs stay whole and only the broken one is rebuilt."""
+    return _rebuild(spark, sf, False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlab.schemas import TIMEFRAME_SECONDS
-from barlab.streaming.bars import late_rows, require_in_order, run_available, stream_ticks, streaming_bars, with_open_bars
+from barlab.streaming.bars import late_ticks, run_available, stream_ticks, streaming_bars, with_open_bars
 from checks import duck_sql as D
 from checks.feeds import event_ticks, scratch, table
 from checks.q_bars import OHLC, _ohlc
@@ -21,8 +21,8 @@ def _stream(spark, sf):
         F.col("event_type").alias("pair"), F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("value").alias("mid"), F.col("event_id").alias("seq"),
     )
-    done = run_available(streaming_bars(ticks, FRAME), f"{folder}/bars", f"{folder}/state")
-    return done, spark.read.parquet(f"{folder}/bars")
+    run_available(streaming_bars(ticks, FRAME), f"{folder}/bars", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/bars")
 
 
 @query(
@@ -32,19 +32,32 @@ def _stream(spark, sf):
 )
 def l1(spark, sf):
     """Only buckets the watermark has passed are emitted."""
-    return _stream(spark, sf)[1].select(*OHLC, "tick_count")
+    return _stream(spark, sf).select(*OHLC, "tick_count")
 
 
 @query("l2_open_buckets", _ohlc(D.EVENT_TICKS, FRAME, "1 AS z|n AS tick_count"))
 def l2(spark, sf):
     """The stream's bars completed by a batch over the open buckets."""
-    closed = _stream(spark, sf)[1]
+    closed = _stream(spark, sf)
     return with_open_bars(closed, event_ticks(spark, sf), FRAME).select(*OHLC, "tick_count")
 
 
-@query("l3_late_input", "SELECT count(*) - count(*) AS late_rows, count(DISTINCT event_type) AS pairs FROM events")
+# Every tenth event arrives in a second batch, after the others.
+_LATE = "event_id % 10 = 0"
+
+
+@query(
+    "l3_late_input",
+    f"""SELECT event_type AS pair, count(*) AS late FROM events
+    WHERE {_LATE} AND epoch_us({D.bucket('ts', FRAME)}) + {TIMEFRAME_SECONDS[FRAME]}::BIGINT * 1000000 <= (SELECT epoch_us(max(ts)) FROM events WHERE NOT ({_LATE})) GROUP BY 1""",
+)
 def l3(spark, sf):
-    """Rows dropped behind the watermark, from the query's progress; none here."""
-    done, closed = _stream(spark, sf)
-    require_in_order(done)
-    return closed.agg(F.lit(late_rows(done)).cast("bigint").alias("late_rows"), F.count_distinct("pair").alias("pairs"))
+    """Ticks dropped behind the watermark, over two runs of the stream that share their state."""
+    folder = scratch(spark)
+    ticks = event_ticks(spark, sf)
+    for late in (False, True):
+        part = ticks.where((F.col("seq") % 10 == 0) == F.lit(late))
+        part.write.mode("append").parquet(f"{folder}/ticks")
+        stream = stream_ticks(spark, f"{folder}/ticks", ticks.schema)
+        run_available(streaming_bars(stream, FRAME), f"{folder}/bars", f"{folder}/state")
+    return late_ticks(spark.read.parquet(f"{folder}/ticks"), spark.read.parquet(f"{folder}/bars"), FRAME)
