@@ -2,13 +2,13 @@
 
 A series is cut into blocks of ``BLOCK`` bars.  Inside a block the value is
 ``d**p * sum(b[j] * d**-j)``, a running sum; what earlier blocks leave behind is
-one number per block, the *carry*, folded from the block totals.  No task ever
-holds more than one block of bars or one row per block of a series.
+one number per block, the *carry*, folded from the block totals.  The fold has two
+levels, blocks inside a span of ``BLOCK`` blocks and spans, and leaves no old value out.
+No task ever holds more than one block of bars or one row per span of a series.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,9 +25,9 @@ class Decay:
     warmup: int
 
     @property
-    def reach(self) -> int:
-        """Blocks after which the weight falls below double precision (e**-45)."""
-        return max(1, math.ceil(45.0 / (-BLOCK * math.log(self.factor))))
+    def block(self) -> float:
+        """Decay over a whole block."""
+        return self.factor**BLOCK
 
 
 def power(base: float, exponent: Column) -> Column:
@@ -50,9 +50,22 @@ def block_carries(bars: DataFrame, terms: dict[Decay, Column]) -> DataFrame:
             for decay, term in terms.items()
         ]
     )
-    order = Window.partitionBy(*SERIES).orderBy("block")
-    carried = []
-    for decay in terms:
-        earlier = F.collect_list(decay.name).over(order.rowsBetween(-decay.reach, -1))
-        carried.append(_fold(earlier, decay.factor**BLOCK).alias(f"carry_{decay.name}"))
-    return totals.select(*SERIES, "block", *carried)
+    totals = totals.withColumn("span", F.floor(F.col("block") / F.lit(BLOCK))).withColumn("place", F.pmod("block", F.lit(BLOCK)))
+    inside = _carries(totals, [*SERIES, "span"], "block", {d.name: d.block for d in terms}, ["place"])
+    ends = totals.groupBy(*SERIES, "span").agg(
+        *[F.sum(F.col(d.name) * power(d.block, F.lit(BLOCK - 1) - F.col("place"))).alias(d.name) for d in terms]
+    )
+    before = _carries(ends, SERIES, "span", {d.name: d.block**BLOCK for d in terms}, []).withColumnsRenamed(
+        {f"carry_{d.name}": f"span_{d.name}" for d in terms}
+    )
+    whole = [
+        (F.col(f"carry_{d.name}") + power(d.block, F.col("place")) * F.col(f"span_{d.name}")).alias(f"carry_{d.name}") for d in terms
+    ]
+    return inside.join(before, [*SERIES, "span"]).select(*SERIES, "block", *whole)
+
+
+def _carries(totals: DataFrame, keys: list[str], at: str, steps: dict[str, float], kept: list[str]) -> DataFrame:
+    """What all earlier rows of the same ``keys`` leave behind, as ``carry_<name>``."""
+    order = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    carries = [_fold(F.collect_list(name).over(order), step).alias(f"carry_{name}") for name, step in steps.items()]
+    return totals.select(*dict.fromkeys([*keys, at, *kept]), *carries)

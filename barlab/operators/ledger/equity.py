@@ -18,13 +18,14 @@ EQUITY_COLUMNS = ["timestamp", "equity", "capital", "realized_equity", "position
 def segments(runs: DataFrame, trades: DataFrame) -> DataFrame:
     """Flat and open stretches covering bars 1..last of every run.
 
-    ``runs`` has run_id, series, initial_capital and last_index.
+    ``runs`` has run_id, series, salts, initial_capital and last_index.
     """
     in_order = Window.partitionBy("run_id", *SERIES).orderBy("trade_no")
     head = trades.groupBy("run_id", *SERIES).agg(F.min("entry_index").alias("first_entry"))
     idle = runs.join(head, ["run_id", *SERIES], "left").select(
         "run_id",
         *SERIES,
+        "salts",
         F.lit(1).cast("bigint").alias("from_index"),
         F.coalesce(F.col("first_entry") - 1, F.col("last_index")).alias("to_index"),
         F.lit(0).alias("sign"),
@@ -34,7 +35,7 @@ def segments(runs: DataFrame, trades: DataFrame) -> DataFrame:
     )
     following = F.lead("entry_index").over(in_order)
     ended = trades.withColumn("next_entry", following).join(
-        runs.select("run_id", *SERIES, "last_index"), ["run_id", *SERIES]
+        runs.select("run_id", *SERIES, "salts", "last_index"), ["run_id", *SERIES]
     )
     held = F.struct(
         F.col("entry_index").alias("from_index"),
@@ -52,16 +53,16 @@ def segments(runs: DataFrame, trades: DataFrame) -> DataFrame:
         F.lit(0.0).alias("entry_s"),
         F.lit(0.0).alias("size"),
     )
-    traded = ended.select("run_id", *SERIES, F.inline(F.array(held, flat)))
+    traded = ended.select("run_id", *SERIES, "salts", F.inline(F.array(held, flat)))
     return idle.unionByName(traded).where(F.col("from_index") <= F.col("to_index"))
 
 
-def _place(runs: DataFrame, trades: DataFrame, salts: int) -> DataFrame:
-    return place(segments(runs, trades), F.col("from_index"), F.col("to_index"), salts)
+def _place(runs: DataFrame, trades: DataFrame) -> DataFrame:
+    return place(segments(runs, trades), F.col("from_index"), F.col("to_index"))
 
 
-def _mark(placed: DataFrame, packed: DataFrame, salts: int, *extra: str) -> DataFrame:
-    rows = open_bars(placed, packed, F.col("from_index"), F.col("to_index"), salts)
+def _mark(placed: DataFrame, packed: DataFrame, *extra: str) -> DataFrame:
+    rows = open_bars(placed, packed, F.col("from_index"), F.col("to_index"))
     sign = F.col("sign")
     mark = F.when(sign != 0, (sign * F.col("close") - F.col("entry_s")) * F.col("size")).otherwise(F.lit(0.0))
     return rows.select(
@@ -79,19 +80,19 @@ def _mark(placed: DataFrame, packed: DataFrame, salts: int, *extra: str) -> Data
     )
 
 
-def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
+def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame) -> DataFrame:
     """``packed`` bars need timestamp and close."""
-    return _mark(_place(runs, trades, salts), packed, salts)
+    return _mark(_place(runs, trades), packed)
 
 
-def peaked_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
+def peaked_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame) -> DataFrame:
     """The curve with ``top_before``: the highest equity of earlier blocks.
 
     The curve is laid out twice rather than shuffled once: block tops come from
     an aggregation where the rows are born, and return on the sparse segments.
     """
-    placed = _place(runs, trades, salts)
-    tops = _mark(placed, packed, salts).groupBy("run_id", *SERIES, "block", "salt").agg(F.max("equity").alias("top"))
+    placed = _place(runs, trades)
+    tops = _mark(placed, packed).groupBy("run_id", *SERIES, "block", "salt").agg(F.max("equity").alias("top"))
     earlier = Window.partitionBy("run_id", *SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = tops.select("run_id", *SERIES, "block", F.max("top").over(earlier).alias("top_before"))
-    return _mark(placed.join(before, ["run_id", *SERIES, "block"]), packed, salts, "top_before")
+    return _mark(placed.join(before, ["run_id", *SERIES, "block"]), packed, "top_before")

@@ -4,9 +4,9 @@ Bars are packed into one row per (series, block) with at most ``BLOCK`` bars.
 Candidates meet the blocks they may live in by an equi-join on (series, block),
 so a hot series is spread over all its blocks and no range join is needed.
 
-How far a candidate must be followed is unknown beforehand.  Each pass follows
-the unresolved ones up to a horizon that grows eightfold; cost is proportional
-to the bars a candidate really lives through, not to the length of the series.
+How far a candidate must be followed is unknown beforehand.  The first pass follows
+at most one block's length of bars, every further one the unresolved candidates up to a
+horizon that grows eightfold; the same passes run whatever the length of the series.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from barlab.operators.ledger.entries import CANDIDATE_KEY, distance, execution_p
 from barlab.schemas import BLOCK, SERIES
 from barlab.session import materialize
 
-FIRST_HORIZON = 8 * BLOCK
+FIRST_HORIZON = BLOCK
 HORIZON_GROWTH = 8
 RUNS_PER_SALT = 64
-MOST_SALTS = 64
 
 
 def pack_bars(bars: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,34 +32,37 @@ def pack_bars(bars: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def salts_for(runs_per_series: int) -> int:
-    """Copies of the packed bars, so that many runs on few blocks still spread over tasks.
+def with_salts(runs: DataFrame) -> DataFrame:
+    """Runs with ``salts``: copies of the packed bars of their series, so that many runs on few blocks still spread.
 
-    Grows with the runs, so the copies never outweigh what they are joined to.
+    Each series has its own number.  It grows with the runs, so the copies never outweigh what they are joined to.
     """
-    return max(1, min(MOST_SALTS, -(-runs_per_series // RUNS_PER_SALT)))
+    beside = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
+    return runs.withColumn("salts", F.ceil(beside / F.lit(RUNS_PER_SALT)).cast("int"))
 
 
-def place(rows: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+def place(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     """One copy of each row per block its [start, end] range touches, as ``block`` and ``salt``."""
-    return rows.withColumn("block", F.explode(F.sequence(whole_blocks(start), whole_blocks(end)))).withColumn(
-        "salt", F.pmod(F.hash("run_id"), F.lit(salts))
+    return (
+        rows.withColumn("block", F.explode(F.sequence(whole_blocks(start), whole_blocks(end))))
+        .withColumn("salt", F.pmod(F.hash("run_id"), F.col("salts")))
+        .drop("salts")
     )
 
 
-def open_bars(placed: DataFrame, packed: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+def open_bars(placed: DataFrame, packed: DataFrame, start: Column, end: Column) -> DataFrame:
     """Placed rows x the bars of their range inside the block."""
     base = F.col("block") * F.lit(BLOCK)
     low = F.greatest(start - base, F.lit(0)).cast("int")
     high = F.least(end - base, F.lit(BLOCK - 1)).cast("int")
-    copies = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     joined = placed.join(copies, [*SERIES, "block", "salt"])
     return joined.select(*placed.columns, F.inline(F.slice("bars", low + 1, high - low + 1)))
 
 
-def unpack(rows: DataFrame, packed: DataFrame, start: Column, end: Column, salts: int = 1) -> DataFrame:
+def unpack(rows: DataFrame, packed: DataFrame, start: Column, end: Column) -> DataFrame:
     """Rows x the bars of their [start, end] range."""
-    return open_bars(place(rows, start, end, salts), packed, start, end, salts)
+    return open_bars(place(rows, start, end), packed, start, end)
 
 
 def _signed_bar(columns: list[str]) -> dict[str, Column]:
@@ -74,13 +76,13 @@ def _signed_bar(columns: list[str]) -> dict[str, Column]:
     return signed
 
 
-def fixed_hits(followed: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
+def fixed_hits(followed: DataFrame, packed: DataFrame) -> DataFrame:
     """First touch of a fixed stop or target; the stop wins within a bar.
 
     Touches are filtered right after the join, so only hit bars are shuffled.
     """
-    slim = followed.select(*CANDIDATE_KEY, "sign", "stop_s", "target_s", "until")
-    rows = unpack(slim, packed, F.col("entry_index"), F.col("until"), salts).withColumns(_signed_bar([]))
+    slim = followed.select(*CANDIDATE_KEY, "salts", "sign", "stop_s", "target_s", "until")
+    rows = unpack(slim, packed, F.col("entry_index"), F.col("until")).withColumns(_signed_bar([]))
     stopped = F.coalesce(F.col("worst") <= F.col("stop_s"), F.lit(False))
     reached = F.coalesce(F.col("best") >= F.col("target_s"), F.lit(False))
     none = F.lit(None).cast("double")
@@ -126,7 +128,7 @@ _RATCHET_SETTINGS = [
 
 
 def ratchet_hits(
-    followed: DataFrame, packed: DataFrame, salts: int = 1, *, atr_columns: list[str], ma_columns: list[str]
+    followed: DataFrame, packed: DataFrame, *, atr_columns: list[str], ma_columns: list[str]
 ) -> DataFrame:
     """First touch of the tightest stop or the target when stops move.
 
@@ -134,8 +136,8 @@ def ratchet_hits(
     them: every level is a running maximum ("after") read one row later
     ("before").  The last row also yields the final levels for the trade record.
     """
-    slim = followed.select(*CANDIDATE_KEY, *_RATCHET_SETTINGS)
-    rows = unpack(slim, packed, F.col("entry_index"), F.col("until"), salts).withColumns(_signed_bar(["close"]))
+    slim = followed.select(*CANDIDATE_KEY, "salts", *_RATCHET_SETTINGS)
+    rows = unpack(slim, packed, F.col("entry_index"), F.col("until")).withColumns(_signed_bar(["close"]))
     life = Window.partitionBy(*CANDIDATE_KEY).orderBy("bar_index")
     so_far = life.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -208,35 +210,21 @@ def ratchet_hits(
     )
 
 
-def first_hits(
-    candidates: DataFrame,
-    packed: DataFrame,
-    *,
-    longest: int,
-    follow,
-    salts: int = 1,
-    first_horizon: int = FIRST_HORIZON,
-) -> DataFrame:
+def first_hits(candidates: DataFrame, packed: DataFrame, *, follow, first_horizon: int = FIRST_HORIZON) -> DataFrame:
     """Outcome per candidate, following unresolved ones over growing horizons.
 
-    ``longest`` is the length of the longest series: when the first horizon
-    covers it, one lazy pass is all there is.  ``follow(rows, packed, salts)`` is
-    ``fixed_hits`` or ``ratchet_hits``.
+    ``follow(rows, packed)`` is ``fixed_hits`` or ``ratchet_hits``.
     """
     horizon, pending, outcomes = first_horizon, candidates, None
     while True:
         until = F.least(F.col("limit_index"), F.col("entry_index") + F.lit(horizon - 1))
-        found = follow(pending.withColumn("until", until), packed, salts)
-        if horizon >= longest:
-            return found if outcomes is None else outcomes.unionByName(found)
-        found = materialize(found, "outcomes")
-        unresolved = pending.where(F.col("limit_index") > until).join(
-            found.where(F.col("hit").isNotNull()).select(*CANDIDATE_KEY), CANDIDATE_KEY, "left_anti"
-        )
-        pending = materialize(unresolved, "pending")
-        decided = found.join(pending.select(*CANDIDATE_KEY), CANDIDATE_KEY, "left_anti")
+        found = materialize(follow(pending.withColumn("until", until), packed), "outcomes")
+        hit = found.where(F.col("hit").isNotNull()).select(*CANDIDATE_KEY)
+        pending = materialize(pending.where(F.col("limit_index") > until).join(hit, CANDIDATE_KEY, "left_anti"), "pending")
+        last = pending.isEmpty()
+        decided = found if last else found.join(pending.select(*CANDIDATE_KEY), CANDIDATE_KEY, "left_anti")
         outcomes = decided if outcomes is None else outcomes.unionByName(decided)
-        if pending.isEmpty():
+        if last:
             return outcomes
         horizon *= HORIZON_GROWTH
 

@@ -21,7 +21,7 @@ from barlab.operators.ledger.exits import (
     pack_bars,
     ratchet_hits,
     resolve_exits,
-    salts_for,
+    with_salts,
 )
 from barlab.operators.metrics import run_metrics
 from barlab.schemas import SERIES
@@ -30,7 +30,7 @@ from barlab.session import materialize
 
 @dataclass
 class Book:
-    """Result tables of a set of runs; ``rejected`` holds invalid configs with their error."""
+    """Result tables of a set of runs; ``rejected`` holds invalid configs with their error, ``signals`` what the runs of a key share."""
 
     runs: DataFrame
     rejected: DataFrame
@@ -38,15 +38,15 @@ class Book:
     packed: DataFrame
     candidates: DataFrame
     trades: DataFrame
-    salts: int = 1
+    signals: DataFrame
 
     @property
     def equity(self) -> DataFrame:
-        return equity_curve(self.runs, self.trades, self.packed, self.salts)
+        return equity_curve(self.runs, self.trades, self.packed)
 
     @property
     def metrics(self) -> DataFrame:
-        curve = peaked_curve(self.runs, self.trades, self.packed, self.salts)
+        curve = peaked_curve(self.runs, self.trades, self.packed)
         return run_metrics(self.runs, self.trades, curve)
 
 
@@ -59,7 +59,7 @@ class SlicedBook(Book):
 
     @classmethod
     def of(cls, book: Book, plain: Callable[[DataFrame], DataFrame]) -> SlicedBook:
-        shown = replace(book, **{name: plain(getattr(book, name)) for name in ("runs", "rejected", "bars", "trades")})
+        shown = replace(book, **{name: plain(getattr(book, name)) for name in ("runs", "rejected", "bars", "trades", "signals")})
         return cls(**{f.name: getattr(shown, f.name) for f in fields(Book)}, kept=book, plain=plain)
 
     @property
@@ -81,19 +81,20 @@ def keep_book(
     ma_columns: list[str],
     first_horizon: int = FIRST_HORIZON,
 ) -> Book:
-    """Resolve all runs over materialised, indexed bars."""
+    """Resolve all runs over materialised, indexed bars.
+
+    ``signal_rows`` need a ``timestamp`` besides the columns of ``SIGNAL_ROW``.
+    """
+    runs = with_salts(runs)
     summary = bars.groupBy(*SERIES).agg(F.max("last_index").alias("last_index"))
-    longest = (summary.agg(F.max("last_index")).first()[0] or 0) + 1
+    salts = runs.groupBy(*SERIES).agg(F.first("salts").alias("salts"))
+    # Read several times below: written once.
     packed = pack_bars(bars, ["timestamp", "high", "low", "close", *atr_columns, *ma_columns])
-    # Sparse and read several times below: written once.
+    packed = materialize(packed.join(salts, SERIES), "packed")
     candidates = materialize(candidate_entries(signal_rows, runs, atr_columns, ma_columns), "candidates")
-    if longest > first_horizon:
-        packed = materialize(packed, "packed")
 
-    per_series = runs.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("runs"), F.collect_set("ratchets").alias("kinds"))
-    facts = per_series.agg(F.max("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")).first()
-    kinds, salts = set(facts["kinds"] or []), salts_for(facts["runs"] or 1)
-    hits = partial(first_hits, packed=packed, longest=longest, salts=salts, first_horizon=first_horizon)
+    kinds = {row[0] for row in runs.select("ratchets").distinct().collect()}
+    hits = partial(first_hits, packed=packed, first_horizon=first_horizon)
     leveled = candidates.where("has_exit_level")
     outcomes = None
     if False in kinds:
@@ -132,7 +133,8 @@ def keep_book(
     resolved = materialize(resolve_exits(candidates, outcomes).select(*kept), "resolved")
     trades = materialize(settle(accept(resolved)), "trades")
     live = runs.join(summary.where("last_index >= 1"), SERIES)
-    return Book(live, rejected, bars, packed, candidates, trades, salts)
+    signals = signal_rows.select("signal_key", *SERIES, "timestamp", "signal")
+    return Book(live, rejected, bars, packed, candidates, trades, signals)
 
 
 def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *, first_horizon: int = FIRST_HORIZON) -> Book:

@@ -34,7 +34,10 @@ def append_results(rows: DataFrame, path: str, columns: list[str], types: dict[s
 
 
 def save_book(book, root: str) -> None:
-    """Config, metrics, trades and equity of all runs, partitioned like run folders, keyed by ``run_id``."""
+    """Config, metrics, trades and equity of all runs, partitioned like run folders, keyed by ``run_id``.
+
+    Signals other than 0 are shared by runs and stored once per ``signal_key`` and series (and window, in a matrix).
+    """
     keys = book.runs.select("run_id", "pair", "timeframe", F.col("strategy_name").alias("strategy"))
     where = ["strategy", "pair", "timeframe"]
     save = lambda table, name: table.write.mode("append").partitionBy(*where).parquet(f"{root}/{name}")
@@ -42,10 +45,7 @@ def save_book(book, root: str) -> None:
     save(book.metrics.join(keys, ["run_id", "pair", "timeframe"]), "metrics")
     save(book.trades.withColumn("strategy", F.col("strategy_name")), "trades")
     save(book.equity.join(keys, ["run_id", "pair", "timeframe"]), "equity")
-    # Signals are shared by all runs of one bar table: stored once per series.
-    if "signal" in book.bars.columns:
-        signals = book.bars.select("pair", "timeframe", "timestamp", "signal")
-        signals.write.mode("append").partitionBy("pair", "timeframe").parquet(f"{root}/signals")
+    book.signals.write.mode("append").partitionBy("pair", "timeframe").parquet(f"{root}/signals")
 
 
 def _or_empty(read, spark: SparkSession, schema: str) -> DataFrame:

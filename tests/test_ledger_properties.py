@@ -7,6 +7,7 @@ import random
 import duckdb
 import pytest
 
+from barlab.operators.ledger import exits
 from barlab.operators.ledger.configs import configs_per_series
 from barlab.operators.signals import sma_crossover
 from barlab.operators.resample import ticks_to_bars
@@ -47,9 +48,10 @@ def random_run(rng: random.Random) -> dict:
     return run
 
 
-@pytest.mark.parametrize("seed, horizon", [(1, 4096), (2, 8)])
-def test_random_settings(spark, sf, seed, horizon):
-    """``horizon=8`` forces several passes over unresolved candidates."""
+@pytest.mark.parametrize("seed, horizon, runs_per_salt", [(1, 4096, 64), (2, 8, 5)])
+def test_random_settings(spark, sf, seed, horizon, runs_per_salt, monkeypatch):
+    """``horizon=8`` forces several passes over unresolved candidates, 5 runs per salt several copies of the bars."""
+    monkeypatch.setattr(exits, "RUNS_PER_SALT", runs_per_salt)
     rng = random.Random(seed)
     runs = [{**random_run(rng), "strategy_name": f"r{k}"} for k in range(24)]
     bars = ticks_to_bars(event_ticks(spark, sf), "4h").cache()
