@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barlab.functions.indicators import whole_blocks
 from barlab.schemas import SERIES
 
 # What a signal row must carry besides its levels (ATR and average columns).
@@ -64,24 +65,45 @@ def executable(signal_rows: DataFrame) -> DataFrame:
     """Non-zero signals that have a next bar, each with the next opposite one.
 
     ``signal_rows`` is sparse (one row per signal, not per bar).  Sorting newest
-    first turns "next following" into a running value, linear in the rows.
+    first turns "next following" into a running value, linear in the rows.  What
+    follows in later blocks comes from one row per block, so no task holds a whole series.
     """
     active = signal_rows.where((F.col("signal") != 0) & F.col("next_timestamp").isNotNull())
-    newest_first = (
-        Window.partitionBy("signal_key", *SERIES)
-        .orderBy(F.col("bar_index").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    active = active.withColumn("signal_block", whole_blocks(F.col("bar_index")))
     fill = F.struct(
         (F.col("bar_index") + 1).alias("index"), F.col("next_open").alias("open"), F.col("next_timestamp").alias("time")
     )
-    next_up = F.last(F.when(F.col("signal") > 0, fill), ignorenulls=True).over(newest_first)
-    next_down = F.last(F.when(F.col("signal") < 0, fill), ignorenulls=True).over(newest_first)
-    return active.withColumns({"next_up": next_up, "next_down": next_down}).withColumn(
-        "flip", F.when(F.col("signal") > 0, F.col("next_down")).otherwise(F.col("next_up"))
+    up, down = F.when(F.col("signal") > 0, fill), F.when(F.col("signal") < 0, fill)
+    key = ["signal_key", *SERIES]
+    # ``index`` comes first in ``fill``: the least is the earliest.
+    firsts = active.groupBy(*key, "signal_block").agg(F.min(up).alias("up"), F.min(down).alias("down"))
+    later = Window.partitionBy(*key).orderBy(F.col("signal_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = firsts.select(*key, "signal_block", *[F.last(name, ignorenulls=True).over(later).alias(f"later_{name}") for name in ("up", "down")])
+    newest_first = (
+        Window.partitionBy(*key, "signal_block").orderBy(F.col("bar_index").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    following = lambda here, name: F.coalesce(F.last(here, ignorenulls=True).over(newest_first), F.col(f"later_{name}"))
+    return (
+        active.join(after, [*key, "signal_block"])
+        .withColumns({"next_up": following(up, "up"), "next_down": following(down, "down")})
+        .withColumn("flip", F.when(F.col("signal") > 0, F.col("next_down")).otherwise(F.col("next_up")))
+        .drop("later_up", "later_down")
     )
 
 
+def beside_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Signals x runs of the same key and series, the blocks of a series dealt over as many tasks as there are.
+
+    Runs are copied once per share of their series: at most once per shuffle partition and per block.
+    """
+    most = F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = F.least(whole_blocks(F.col("last_index")) + 1, most)
+    dealt = rows.withColumn("share", F.pmod(F.col("signal_block"), shares))
+    lengths = rows.groupBy(*SERIES).agg(F.max("last_index").alias("last_index"))
+    copies = runs.join(lengths.select(*SERIES, F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share")), SERIES)
+    return dealt.join(copies, ["signal_key", *SERIES, "share"]).drop("share", "signal_block")
+
+
 def candidate_entries(signal_rows: DataFrame, runs: DataFrame, atr_columns: list[str], ma_columns: list[str]) -> DataFrame:
     """Signals x runs of the same signal key, side gates, warm-up gates and entry levels.
 
@@ -89,7 +111,7 @@ def candidate_entries(signal_rows: DataFrame, runs: DataFrame, atr_columns: list
     ``ma_stop_series`` naming the average to follow.  All prices are signed.
     """
     rows = executable(signal_rows)
-    joined = rows.join(runs.withColumnRenamed("error", "config_error"), ["signal_key", *SERIES])
+    joined = beside_runs(rows, runs.withColumnRenamed("error", "config_error"))
     side = F.signum(F.col("signal")).cast("int")
     allowed = F.when(side > 0, F.col("allow_long")).otherwise(F.col("allow_short"))
     entry_atr = F.when(F.col("uses_atr"), pick(F.col("atr_series"), atr_columns))
