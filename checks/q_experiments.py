@@ -22,8 +22,9 @@ from barlab.plans.experiments import (
     split_complete,
 )
 from barlab.session import materialize
+from barlab.sources.results import save_book
 from checks import duck_sql as D
-from checks.feeds import bars, derived, kept, table
+from checks.feeds import bars, derived, kept, scratch, table
 from checks.registry import query, r
 
 GRID = dict(
@@ -254,6 +255,23 @@ def h9(spark, sf):
     return rows.select("pair", "ma_types", "ma_periods", "entry_type", "exit_profile", "trailing_type", *NUMBERS, *INTEGERS)
 
 
+@query(
+    "a15_matrix_signals",
+    _result_sql(
+        f"""SELECT pair, rule AS signal_key, count(*) AS signals, CAST(sum(sig) AS BIGINT) AS balance, {D.stamp('min(ts)')} AS first_at
+        FROM ruled WHERE sig <> 0 GROUP BY 1, 2""",
+        ["atr12"],
+    ),
+)
+def a15_signals(spark, sf):
+    """Signals of a matrix book, stored once per rule and series and read back."""
+    root = scratch(spark)
+    save_book(run_matrix(bars(spark, sf, "1h"), _event_matrix(spark, sf, ["atr12"])), root)
+    return spark.read.parquet(f"{root}/signals").groupBy("pair", "signal_key").agg(
+        F.count(F.lit(1)).alias("signals"), F.sum("signal").alias("balance"), F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("first_at")
+    )
+
+
 _DERIVED = "SELECT o_orderkey AS key, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_totalprice END AS net, CASE WHEN o_custkey % 15 = 0 THEN NULL ELSE 1.5 END AS pf FROM orders"
 
 

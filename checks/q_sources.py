@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlab.plans.build import build_store
 from barlab.session import materialize
 from barlab.sources.candles import candle_window, outputs_to_build, write_candles
-from barlab.sources.catalogue import bar_files, canonical_files, choose_sources, prune_by_year, tick_files, year_window
+from barlab.sources.catalogue import bar_files, canonical_files, choose_sources, prune_by_year, read_ticks, tick_files, year_window
 from barlab.sources.results import (
     append_failures,
     append_results,
@@ -89,6 +89,26 @@ def a4(spark, sf):
     return tick_files(paths(spark, sf), SOURCE_PAIRS).select("pair", "path")
 
 
+@query(
+    "a4_tick_scan",
+    f"SELECT event_type AS pair, event_id AS seq, {D.stamp('ts')} AS timestamp, {r('value')} AS mid FROM events WHERE event_type = 'click'",
+)
+def a4_scan(spark, sf):
+    """All tick files of one pair, read recursively; the same ticks again in files named ``recent`` are left out."""
+    folder = scratch(spark) + "/cleaned_ticks/click"
+    ticks = event_ticks(spark, sf).where("pair = 'click'").drop("pair")
+    for part in ("2024/one", "2024/two"):
+        ticks.write.parquet(f"{folder}/{part}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    again = path(f"{folder}/2024/two")
+    files = again.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(again):
+        if status.getPath().getName().endswith(".parquet"):
+            files.rename(status.getPath(), path(again, "Recent_" + status.getPath().getName()))
+    rows = read_ticks(spark, folder.removesuffix("/cleaned_ticks/click"), "click")
+    return rows.select("pair", "seq", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "mid")
+
+
 @query("a5_bar_files", TREE + "SELECT pair, source_timeframe, path FROM barfiles")
 def a5(spark, sf):
     return bar_files(paths(spark, sf), SOURCE_PAIRS).select("pair", "source_timeframe", "path")
