@@ -60,6 +60,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     up, down = np.maximum(q, 0.0).T, np.minimum(q, 0.0).T
     own = query_ids[None, :] == ids[:, None]
     last = min(k, n) - 1
+    alive = None  # stays so if everything has to be read, as in a block of one row
     for depth in STEPS:
         read_to = min(n, max(1, int(np.ceil(depth * n))))
         if read_to == n:
