@@ -1,7 +1,8 @@
 """Corpus pipeline: documents to token records in five stages, each stored before the next reads it.
 
 1. toxicity: documents that the classifier chain rejects go.
-2. n-gram Jaccard join: one document of each group of linked documents stays, a row of its own if wordless.
+2. n-gram Jaccard join: one document of each group of linked documents stays, a row of its own if wordless;
+   linked are documents with a Jaccard of 0.8 or more over five-word shingles (op10's query takes three words and 0.9).
 3. benchmark decontamination: contaminated documents go.
 4. mixing sources to target weights: documents are repeated by Poisson counts and shuffled.
 5. token-ID / binary output: framed records and their index; one row per record.
@@ -20,6 +21,8 @@ from llm import decontamination, jaccard_join, mixing, token_records, toxicity
 from llm._common import read, store
 from llm.registry import ship
 
+#: Near duplicates: words of a shingle, and the Jaccard in percent from which documents are linked.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,7 +38,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = keyed(docs)
-    groups = jaccard_join.components(rows.select("row_key", "text"), id_col="row_key")
+    groups = jaccard_join.components(rows.select("row_key", "text"), id_col="row_key", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row_key"), (F.col("n_shingles") == 0).alias("wordless")).distinct()
     first = F.row_number().over(Window.partitionBy("row_key").orderBy("lang", "source", "n_chars"))
     return rows.join(kept, "row_key").withColumn("place", first).filter(F.col("wordless") | (F.col("place") == 1)).select(*COLUMNS)

@@ -1,12 +1,15 @@
 """N-gram Jaccard join with a count-vector R-tree, reduced to components of linked documents.
 
+``shingle`` words make a token; documents are linked from ``percent`` of Jaccard on.  op10 takes 3 words and
+90 percent, the near-duplicate stage of the pipeline its own (`corpus_pipeline`).
+
 A document's tokens (distinct word shingles) are hashed into groups; the counts per group are
 a point.  The overlap of two sets is at most the sum of coordinate minima of their points,
 and of a query and a tree node the sum of minima with the node's upper corner.  Pairs that
 pass this bound are verified on the sets themselves.
 
 Points that can be linked are brought together by the pigeonhole rule.  Two sets with
-Jaccard at least 9/10 differ in at most (a + b) / 19 tokens.  With one group
+Jaccard at least p / 100 differ in at most (a + b) (100 - p) / (100 + p) tokens.  With one group
 more than that, the content of one group at least is untouched, so both have the same key
 (size class, group number, content).  Only keys with two different sets matter.
 
@@ -20,7 +23,7 @@ more than that, the content of one group at least is untouched, so both have the
 
 Equal sets are one set from the start, so copies cost nothing beyond one membership row each.
 
-Texts are lower-cased (A-Z); fewer than three words make one token of all of them; null,
+Texts are lower-cased (A-Z); fewer words than a shingle make one token of all of them; null,
 empty and wordless texts have no tokens and no links.  Repeated rows are linked to each other
 (unless without words).  A null id never becomes a component's id unless all ids are null.
 Other columns are ignored; an empty table gives an empty result.  Tokens are told apart by 64-bit hashes.
@@ -47,35 +50,35 @@ NODE = 16
 CHUNK = 256
 
 
-def least_overlap(a, b):
+def least_overlap(a, b, percent: int):
     """Smallest overlap of linked sets of sizes a and b."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def size_classes(largest: int) -> tuple[np.ndarray, np.ndarray]:
+def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower bounds of size classes, and per class the groups that make sure one is untouched.
 
-    A class spans a factor of 100 / 90, so linked sets are in the same or in neighbouring classes.
+    A class spans a factor of 100 / percent, so linked sets are in the same or in neighbouring classes.
     """
     bounds = [1]
     while bounds[-1] <= largest or len(bounds) < 3:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // PERCENT)))
-    bounds += [-(-bounds[-1] * 100 // PERCENT) + 1]
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent)))
+    bounds += [-(-bounds[-1] * 100 // percent) + 1]
     low = np.array(bounds, np.int64)
     a = low[1:-1] - 1
-    b = np.minimum(low[2:] - 1, a * 100 // PERCENT)
-    return low, (a + b) * (100 - PERCENT) // (100 + PERCENT) + 1
+    b = np.minimum(low[2:] - 1, a * 100 // percent)
+    return low, (a + b) * (100 - percent) // (100 + percent) + 1
 
 
-def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all documents, sorted inside each, and their bounds."""
     data = lower(block.data)
     starts, ends, before = words(data, block.offsets, NOT_WHITE)
     values, counts = hash_spans(data, starts, ends), np.diff(before)
-    runs = hash_runs(values, SHINGLE)
+    runs = hash_runs(values, shingle)
     doc = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(runs)) + SHINGLE <= np.repeat(before[1:], counts)[: len(runs)]
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    inside = np.arange(len(runs)) + shingle <= np.repeat(before[1:], counts)[: len(runs)]
+    short = np.flatnonzero((counts > 0) & (counts < shingle))
     whole = np.array([hash_runs(values[before[i] : before[i + 1]], int(counts[i]))[0] + U64(counts[i]) for i in short], U64)
     doc = np.concatenate([doc[: len(runs)][inside], short])
     token = np.concatenate([runs[inside], whole])
@@ -98,12 +101,12 @@ def set_ids(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out, U64(0))
 
 
-def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, document) of every group of the documents ``use``, for their own size class and the one below."""
     size = np.diff(bounds)[use]
     if not len(use):
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    low, groups = size_classes(int(size.max()))
+    low, groups = size_classes(int(size.max()), percent)
     own = np.searchsorted(low, size, "right") - 1
     keys, docs = [], []
     for step in (0, 1):
@@ -131,8 +134,8 @@ def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray) -> tuple[
 class Tree:
     """R-tree over points: nodes of ``NODE`` neighbours in size and counts, with upper corners and size ranges."""
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        self.sizes, self.points = sizes, points
+    def __init__(self, sizes: np.ndarray, points: np.ndarray, percent: int):
+        self.sizes, self.points, self.percent = sizes, points, percent
         self.order = np.lexsort((*points[:, :4].T, sizes))
         firsts = np.arange(0, len(sizes), NODE)
         self.corner = np.maximum.reduceat(points[self.order], firsts, axis=0)
@@ -141,19 +144,19 @@ class Tree:
 
     def near(self, size: int, point: np.ndarray, open_: np.ndarray) -> np.ndarray:
         """Rows among ``open_`` whose overlap bound allows a link."""
-        low, high = -(-size * PERCENT // 100), size * 100 // PERCENT
+        low, high = -(-size * self.percent // 100), size * 100 // self.percent
         nodes = (self.most >= low) & (self.least <= high)
-        nodes &= np.minimum(self.corner, point).sum(axis=1) >= least_overlap(size, np.maximum(self.least, low))
+        nodes &= np.minimum(self.corner, point).sum(axis=1) >= least_overlap(size, np.maximum(self.least, low), self.percent)
         rows = self.order[np.repeat(nodes, NODE)[: len(self.order)]]
         rows = rows[open_[rows] & (self.sizes[rows] >= low) & (self.sizes[rows] <= high)]
-        return rows[np.minimum(self.points[rows], point).sum(axis=1) >= least_overlap(size, self.sizes[rows])]
+        return rows[np.minimum(self.points[rows], point).sum(axis=1) >= least_overlap(size, self.sizes[rows], self.percent)]
 
 
-def links(sets: list[np.ndarray], component: np.ndarray, askers: np.ndarray) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], component: np.ndarray, askers: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets which links with an asker connect; ``component``: known connections."""
     sizes = np.array([len(s) for s in sets])
     points = np.stack([np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
-    tree, label, found = Tree(sizes, points), component.copy(), []
+    tree, label, found = Tree(sizes, points, percent), component.copy(), []
     for row in np.flatnonzero(askers):
         mine, open_ = sets[row], label != label[row]
         if not open_.any():
@@ -164,7 +167,7 @@ def links(sets: list[np.ndarray], component: np.ndarray, askers: np.ndarray) ->
             theirs = sets[other]
             place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
             common = int((mine[place] == theirs).sum())
-            if 100 * common >= PERCENT * (len(mine) + len(theirs) - common):
+            if 100 * common >= percent * (len(mine) + len(theirs) - common):
                 found.append((row, other))
                 label[label == label[other]] = label[row]
     return found
@@ -187,17 +190,17 @@ def connect(edges: DataFrame, label: str) -> DataFrame:
 FOUND = "hub bigint, sid bigint, tokens binary, doc_id bigint, n_shingles bigint"
 
 
-def collect_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def collect_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Stored rows of two kinds: (hub, sid, tokens) of sets that share a key, and (sid, doc_id, n_shingles) of every document."""
     many = buckets(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = new_block_id()
         for part in text_blocks(batches):
-            token, bounds = shingle_sets(part)
+            token, bounds = shingle_sets(part, shingle)
             sid = set_ids(token, bounds)
             _, first = np.unique(sid, return_index=True)
-            keys, doc = group_keys(token, bounds, first[sid[first] > 0])
+            keys, doc = group_keys(token, bounds, first[sid[first] > 0], percent)
             order = np.argsort(keys, kind="stable")
             text = zstandard.ZstdCompressor(level=1).compress(part.data.tobytes())
             state = [np.asarray(part.offsets, np.int64).tobytes(), text, *ids_to_bytes(part.ids)]
@@ -230,10 +233,10 @@ def collect_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         offsets, text, ids, nulls = own.column("parts")[0].as_py()
         offsets = np.frombuffer(offsets, np.int64)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
-        token, bounds = shingle_sets(Block([None] * (len(offsets) - 1), offsets, data))
+        token, bounds = shingle_sets(Block([None] * (len(offsets) - 1), offsets, data), shingle)
         sid = set_ids(token, bounds)
         _, first = np.unique(sid, return_index=True)
-        keys, doc = group_keys(token, bounds, first[sid[first] > 0])
+        keys, doc = group_keys(token, bounds, first[sid[first] > 0], percent)
         order = np.argsort(keys, kind="stable")
         hub = np.concatenate([*[unpack(p[0], U64) for p in rows.sort_by("bucket").column("parts").to_pylist()], np.zeros(0, U64)])
         doc, hub = doc[order][hub > 0], hub[hub > 0]
@@ -255,7 +258,7 @@ def collect_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return store(rows.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(choose_hubs, ROW).groupBy("block").applyInArrow(send_sets, FOUND), "jaccard-sets")
 
 
-def find_links(members: DataFrame, parts: int) -> DataFrame:
+def find_links(members: DataFrame, parts: int, percent: int) -> DataFrame:
     """Links (a, b) inside every (hub, chunk); ``members``: hub, chunk, sid, tokens, component, asks."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -266,23 +269,23 @@ def find_links(members: DataFrame, parts: int) -> DataFrame:
         out = []
         for a, b in zip([0, *edges], [*edges, len(hub)], strict=True):
             sets = [unpack(t, U64) for t in table.column("tokens").slice(a, b - a).to_pylist()]
-            out += [(int(sid[a + i]), int(sid[a + j])) for i, j in links(sets, component[a:b], asks[a:b])]
+            out += [(int(sid[a + i]), int(sid[a + j])) for i, j in links(sets, component[a:b], asks[a:b], percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return members.withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(parts))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document; linked from ``percent`` Jaccard of ``shingle``-word tokens on."""
     parts = buckets(docs.sparkSession)
-    found = collect_sets(docs, id_col, text_col)
+    found = collect_sets(docs, id_col, text_col, shingle, percent)
     sent, member = found.filter(F.col("hub").isNotNull()), found.filter(F.col("hub").isNull()).select("sid", "doc_id", "n_shingles")
     crowd = store(sent.groupBy("hub").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")), "jaccard-hubs").select("hub", "chunks")
     placed = sent.join(crowd, "hub").withColumn("home", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     own = F.col("sid") == F.col("hub")
     # A hub is in all of its chunks; every set asks, the known components are the sets themselves.
     first = placed.withColumn("chunk", F.explode(F.when(own, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home")))).withColumn("component", F.col("sid")).withColumn("asks", F.lit(True))
-    edges = store(find_links(first.select("hub", "chunk", "sid", "tokens", "component", "asks"), parts), "jaccard-links")
+    edges = store(find_links(first.select("hub", "chunk", "sid", "tokens", "component", "asks"), parts, percent), "jaccard-links")
     labels = connect(edges, "jaccard")
     crowded = placed.filter("chunks > 1")
     if not crowded.isEmpty():
@@ -298,7 +301,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", F.col("chunk") + F.col("block") * wide)
             asked = named.join(blocks, "hub").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.col("chunk") * wide + F.col("home")).withColumn("asks", F.lit(False))
             columns = ["hub", "chunk", "sid", "tokens", "component", "asks"]
-            more = find_links(asking.select(columns).unionByName(asked.select(columns)), parts)
+            more = find_links(asking.select(columns).unionByName(asked.select(columns)), parts, percent)
             edges = store(edges.unionByName(more), "jaccard-links")
             labels = connect(edges, "jaccard")
     grouped = member.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.when(F.col("sid") != 0, F.coalesce("c", "sid")))
@@ -308,4 +311,4 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(read(spark, sf_dir, "documents"))
+    return components(read(spark, sf_dir, "documents"), shingle=SHINGLE, percent=PERCENT)
