@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import _anchors
-from llm._common import BLOCK_BYTES, NOT_WHITE, U64, Block, hash_runs, hash_spans, local_minima, mix, pack, read, unpack, words
+from llm._common import BLOCK_BYTES, NOT_WHITE, U64, hash_runs, hash_spans, local_minima, mix, pack, read, unpack, words
 from llm.registry import query
 
 LENGTH = 35
@@ -38,9 +38,10 @@ SIDE = LENGTH - GRAM
 
 class ParseJob(_anchors.Job):
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    window_kinds = [np.uint8]
     kinds = [(np.uint32, SIDE), (np.uint32, SIDE), (np.uint8, 3)]
 
-    def anchors(self, block: Block) -> tuple[np.ndarray, list[bytes]]:
+    def anchors(self, block):
         starts, ends, before = words(block.data, block.offsets, NOT_WHITE)
         values = hash_spans(block.data, starts, ends)
         counts = np.diff(before)
@@ -49,7 +50,9 @@ class ParseJob(_anchors.Job):
         usable = (np.arange(len(grams)) + GRAM <= end) & np.repeat(counts >= LENGTH, counts)[: len(grams)]
         places = local_minima(grams, usable, SIDE + 1)
         text = zstandard.ZstdCompressor(level=1).compress(block.data.tobytes())
-        return grams[places], [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
+        doc = np.searchsorted(before, places, "right")
+        around = block.data, starts[np.maximum(places - SIDE, before[doc - 1])], ends[np.minimum(places + LENGTH, before[doc]) - 1]
+        return grams[places], around, [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
 
     def hashes(self, state):
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(state[2]), np.uint8) if len(state[2]) else np.zeros(0, np.uint8)
@@ -117,7 +120,7 @@ class ParseJob(_anchors.Job):
         open_class[reference[(fits & ~repeat).any(axis=1)]] = True
         rows = np.flatnonzero(open_class[reference])
         if len(rows):
-            to_left, to_right = running(keys[rows], lefts[rows]), running(keys[rows], rights[rows])
+            to_left, to_right = _anchors.running(keys[rows], lefts[rows]), _anchors.running(keys[rows], rights[rows])
             for j in range(SIDE + 1):
                 whole = np.flatnonzero(fits[rows, j])
                 window = mix(to_left[j, whole] * U64(0x9E3779B97F4A7C15) + to_right[SIDE - j, whole])
@@ -125,6 +128,16 @@ class ParseJob(_anchors.Job):
                 repeat[rows[whole[counts[where] > 1]], j] = True
         return (repeat.astype(U64) << offset.astype(U64)).sum(axis=1, dtype=U64)
 
+    def gather(self, columns, rows, group, first):
+        return [np.minimum(np.bincount(group, 1 + columns[2][rows, 2]), 2).astype(np.uint8)]
+
+    def decide(self, keys, columns, blocks):
+        where, _ = _anchors.distinct(keys)
+        return (np.bincount(where, columns[0]) > 1)[where].astype(np.uint8)
+
+    def repeats(self, answers, group, first):
+        return answers[group]
+
     def finish(self, state, masks):
         places, where, room, offsets, counts, text, digests, pending, ids, nulls = state
         places, where, room = unpack(places, np.int64), unpack(where, np.int64), np.frombuffer(room, np.uint8).reshape(-1, 2)
@@ -148,18 +161,9 @@ class ParseJob(_anchors.Job):
         return pa.table({"doc_id": _anchors.ids_from_bytes(ids, nulls), "n_words": counts, "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())})
 
 
-def running(keys: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Entry [m, i]: hash of row i's key and its first m words on one side."""
-    out = np.empty((SIDE + 1, len(keys)), U64)
-    out[0] = keys
-    for m in range(SIDE):
-        out[m + 1] = mix(out[m] * U64(0xD6E8FEB86659FD93) + side[:, m].astype(U64) + U64(m + 1))
-    return out
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = _anchors.HOT) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
-    return _anchors.run(docs, ParseJob, id_col, text_col, BLOCK_BYTES)
+    return _anchors.run(docs, ParseJob, id_col, text_col, BLOCK_BYTES, hot)
 
 
 @query("op9_lz_dedup")

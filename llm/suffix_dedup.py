@@ -17,7 +17,8 @@ samples about one position in 26, and lets suffixes whose start is unique drop o
 Order of documents is by id, null first, then as stored.  Null text counts as empty.
 Texts under 100 bytes are kept whole.  Matches never cross documents.  Repeated rows are
 separate documents.  Other columns are ignored; an empty table gives an empty result.
-Sampled 50-byte strings are told apart by 64-bit hashes, all else by bytes.
+Sampled 50-byte strings are told apart by 64-bit hashes, all else by bytes; but 100-byte strings
+around a sample that stands in very many surroundings (`_anchors.HOT`) by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -103,13 +104,16 @@ def prefix_classes(keys: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 class SuffixJob(_anchors.Job):
     result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    window_kinds = [np.int64, np.int64]
     kinds = [(np.uint8, SIDE), (np.uint8, SIDE), (np.uint8, 2), (np.int64, 1), (np.int64, 1)]
 
-    def anchors(self, block: Block) -> tuple[np.ndarray, list[bytes]]:
+    def anchors(self, block):
         block = by_id(block)
         places, hashes = sampled(block)
         text = zstandard.ZstdCompressor(level=6).compress(block.data.tobytes())
-        return hashes, [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
+        doc = np.searchsorted(block.offsets, places, "right")
+        around = block.data, np.maximum(places - SIDE, block.offsets[doc - 1]), np.minimum(places + LENGTH, block.offsets[doc])
+        return hashes, around, [pack(places), np.asarray(block.offsets, np.int64).tobytes(), text, *_anchors.ids_to_bytes(block.ids)]
 
     def hashes(self, state):
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(state[2]), np.uint8) if len(state[2]) else np.zeros(0, np.uint8)
@@ -167,6 +171,20 @@ class SuffixJob(_anchors.Job):
         out[order] = masks
         return out
 
+    def gather(self, columns, rows, group, first):
+        return [columns[3][rows[first]], columns[4][rows[first]]]
+
+    def decide(self, keys, columns, blocks):
+        doc_id, place = columns
+        order = np.lexsort((place, blocks, doc_id))  # document order
+        _, first = _anchors.distinct(keys[order])
+        out = np.zeros(len(keys), np.uint8)
+        out[order[first]] = 1
+        return out
+
+    def repeats(self, answers, group, first):
+        return ~(first & answers[group])
+
     def finish(self, state, masks):
         places, where, again, room, offsets, whole_offsets, text, digests, pending, ids, nulls = state
         places, where, again = unpack(places, np.int64), unpack(where, np.int64), unpack(again, np.uint8).astype(bool)
@@ -200,9 +218,9 @@ class SuffixJob(_anchors.Job):
         )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = _anchors.HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    return _anchors.run(docs, SuffixJob, id_col, text_col, BLOCK)
+    return _anchors.run(docs, SuffixJob, id_col, text_col, BLOCK, hot)
 
 
 @query("op1_suffix_dedup")
