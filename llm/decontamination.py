@@ -14,7 +14,8 @@ The benchmark is the stated query set.  It goes out in blocks of at most
 ``QUERY_WORDS`` words, each against the whole index.
 
 Null or wordless texts have no words and no hits.  Repeated rows are separate
-documents.  Items with the same id count once.  Words are compared by 64-bit hash.
+documents.  Items with the same id count once; those with a null id count
+for hit words and the verdict like any other, but are not named: they add nothing to the list of items.  Words are compared by 64-bit hash.
 Empty tables give empty results or none hit.  Other columns are ignored.
 """
 
@@ -61,8 +62,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, INDEX)
 
 
-def phrases(item_ids: list[int], texts: list[str | None], length: int) -> tuple[list[np.ndarray], list[list[int]]]:
-    """Distinct windows (as word hashes) and the items that hold each."""
+def phrases(item_ids: list[int | None], texts: list[str | None], length: int) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Distinct windows (as word hashes) and the items that hold each; null ids name no item."""
     found: dict[bytes, set[int]] = {}
     for item, text in zip(item_ids, texts, strict=True):
         data = lower(np.frombuffer((text or "").encode(), np.uint8))
@@ -70,7 +71,9 @@ def phrases(item_ids: list[int], texts: list[str | None], length: int) -> tuple[
         hashes = hash_spans(data, starts, ends)
         size = min(length, len(hashes))
         for i in range(len(hashes) - size + 1 if size else 0):
-            found.setdefault(hashes[i : i + size].tobytes(), set()).add(item)
+            held = found.setdefault(hashes[i : i + size].tobytes(), set())
+            if item is not None:
+                held.add(item)
     return [np.frombuffer(key, U64) for key in found], [sorted(items) for items in found.values()]
 
 
@@ -120,7 +123,7 @@ class Shard:
 def search(index: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 0, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``block, place, spans array<bigint> (start, end, start, end ...), items array<bigint>`` of documents with hits, per query block."""
     spark = index.sparkSession
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // QUERY_WORDS))  # a word takes a character at least
     schema, found = "block bigint, place int, spans array<bigint>, items array<bigint>", None
