@@ -6,7 +6,7 @@ so that a later model does not trust an earlier one more than it deserves.
 
 1. *Feature choice.*  Features are words and word prefixes standing at least so many times in a text.
    Chosen are, per category, all that tell its classes apart by a z-score of at least ``Z_FLOOR`` in the labelled
-   sample (aggregated in Spark), the best ``PER_CATEGORY`` if there are more; for out-of-fold predictions the fold takes no part in the choice.
+   sample (aggregated in Spark) and the best ``AT_LEAST`` in any case, the best ``PER_CATEGORY`` if there are more; for out-of-fold predictions the fold takes no part in the choice.
 2. *Fit.*  L2-regularised logistic models on presence of chosen features, on a
    sample of at most ``max_labelled`` labelled documents (smallest id hashes), which is
    the bound of everything that reaches the driver.
@@ -37,6 +37,8 @@ PREFIXES = (4, 5, 6, 7)
 #: Least z-score of a chosen feature, and the most features of a category (a bound of the driver's memory).
 Z_FLOOR = 3.0  # a word in three texts, all of the class, has it where the class is at most a quarter
 PER_CATEGORY = 20_000
+#: The best so many are chosen whatever their z-score, since small samples reach no high one.
+AT_LEAST = 150
 FOLDS = 4
 
 
@@ -125,7 +127,8 @@ def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarra
             mean = every / F.lit(float(n))
             difference = positive / F.lit(float(p)) - (every - positive) / F.lit(float(n - p))
             z = F.abs(difference) / F.sqrt(mean * (1 - mean) * (1.0 / p + 1.0 / (n - p)) + 1e-9)
-            picked[-1].update(r.feature for r in sums.filter((every >= 3) & (z >= Z_FLOOR)).orderBy(F.desc(z), "feature").limit(PER_CATEGORY).select("feature").collect())
+            best = sums.filter(every >= 3).orderBy(F.desc(z), "feature").limit(PER_CATEGORY).select("feature", z.alias("z")).collect()
+            picked[-1].update(r.feature for place, r in enumerate(best) if place < AT_LEAST or r.z >= Z_FLOOR)
     chosen = np.sort(np.array(sorted(set().union(*picked)), np.int64).view(U64))
     return chosen, [np.isin(chosen, np.array(sorted(x), np.int64).view(U64)) for x in picked]
 
