@@ -93,14 +93,14 @@ def keyed(vocabulary: DataFrame) -> DataFrame:
 
 
 def tiled(keys: DataFrame, tile_rows: int) -> DataFrame:
-    """Keys with several words and one of full length, dealt into tiles: adds ``block`` and ``tile`` (0 where there is one)."""
+    """Keys with several words and one of full length, dealt into tiles: adds ``block``, ``tile`` and whether it is for pairs of two blocks (``across``)."""
     at_most = F.least(F.lit(tile_rows), F.greatest(F.lit(2), F.floor(F.lit(CELLS) / F.col("longer"))))
     groups = keys.groupBy("longer", "segment", "key").agg(F.count("*").alias("size"), F.max(F.length("word")).alias("most"))
     groups = groups.filter((F.col("size") > 1) & (F.col("most") == F.col("longer"))).select("longer", "segment", "key", F.ceil(F.col("size") / at_most).cast("int").alias("blocks"))
     rows = keys.join(groups, ["longer", "segment", "key"]).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.least("block", "other").cast("bigint") * F.col("blocks") + F.greatest("block", "other")
-    return rows.select("word", "n", "longer", "segment", "key", "block", tile.alias("tile"), (F.col("blocks") > 1).alias("split"))
+    return rows.select("word", "n", "longer", "segment", "key", "block", tile.alias("tile"), (F.col("block") != F.col("other")).alias("across"))
 
 
 def matrices(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,10 +121,10 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=-1), a.shape[-1], same.argmin(axis=-1))
 
 
-def compare(words: list[str], width: int, cut: tuple[np.ndarray, np.ndarray], block: np.ndarray, split: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def compare(words: list[str], width: int, cut: tuple[np.ndarray, np.ndarray], block: np.ndarray, across: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Near words of every word inside its group (rows ``firsts[i]`` and ``sizes[i]`` on): how many, and the lowest row number.
 
-    ``cut``: the segment of every row.  A split group's tile holds pairs of different blocks only, if it holds two.
+    ``cut``: the segment of every row.  In groups ``across`` blocks only words of different blocks count.
     """
     left, right, lengths = matrices(words, width)
     near, best = np.zeros(len(words), np.int64), np.full(len(words), len(words), np.int64)
@@ -139,7 +139,7 @@ def compare(words: list[str], width: int, cut: tuple[np.ndarray, np.ndarray], bl
             rows = firsts[group, None] + np.arange(side)
             real = np.arange(side) < sizes[group, None]
             rows = np.where(real, rows, firsts[group, None])
-            two = split[rows[:, 0]] & (np.where(real, block[rows], block[rows[:, :1]]) != block[rows[:, :1]]).any(axis=1)
+            two = across[rows[:, 0]]
             for i in range(0, side, step):
                 a, real_a = rows[:, i : i + step], real[:, i : i + step]
                 for j in range(0, side, step):
@@ -164,7 +164,7 @@ def near_words(vocabulary: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
         # Inside a group, the row number rises from the best word to the worst.
         table = table.sort_by([("longer", "ascending"), ("segment", "ascending"), ("key", "ascending"), ("tile", "ascending"), ("n", "descending"), ("word", "ascending")])
         longer, segment, key, tile, block = (table.column(c).to_numpy() for c in ("longer", "segment", "key", "tile", "block"))
-        split = table.column("split").to_numpy(zero_copy_only=False).astype(bool)
+        across = table.column("across").to_numpy(zero_copy_only=False).astype(bool)
         new = np.ones(len(longer), bool)
         new[1:] = (longer[1:] != longer[:-1]) | (segment[1:] != segment[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
         firsts = np.flatnonzero(new)
@@ -177,7 +177,7 @@ def near_words(vocabulary: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
                 continue
             part = table.slice(a, b - a)
             cut = segment[a:b].astype(np.int64) * width // SEGMENTS, (segment[a:b].astype(np.int64) + 1) * width // SEGMENTS
-            near, best = compare(part.column("word").to_pylist(), int(width), cut, block[a:b], split[a:b], firsts[mine] - a, sizes[mine])
+            near, best = compare(part.column("word").to_pylist(), int(width), cut, block[a:b], across[a:b], firsts[mine] - a, sizes[mine])
             rows = np.flatnonzero(near)
             of = part.select(["word", "n"]).take(pa.array(best[rows]))
             out.append(pa.table({"word": part.column("word").take(pa.array(rows)), "near": near[rows], "best_n": of.column("n"), "best": of.column("word")}))
