@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm._common import U64, Block, hash_spans, lower, mix, read, store, text_blocks, words
-from llm._sieve import FILTER_BITS, Sieve, sieve_of
+from llm._sieve import FILTER_BITS, Sieve, sent, sieve_of
 from llm.registry import query
 
 LONGEST = 4
@@ -129,17 +129,16 @@ def propose(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
 
 
 def count(docs: DataFrame, text_col: str, lang_col: str, sieve: Sieve, older: Sieve | None, least: int) -> DataFrame:
-    """``lang, size, phrase, f`` of frequent phrases that count with ``sieve`` and did not with ``older``.
+    """Stored ``lang, size, phrase, f`` of frequent phrases that count with ``sieve`` and did not with ``older``.
 
     Without ``older`` also one row of size 0 per language with the number of all words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((sieve, older))
 
     def batch_of(langs: list[str] | pa.Array, size: int, texts: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), texts.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, older = sent.value
+        sieve, older = filters.value
         for langs, phrases in blocks_of(batches):
             names, number = np.unique(np.array(langs, object), return_inverse=True)
             if older is None:
@@ -155,13 +154,13 @@ def count(docs: DataFrame, text_col: str, lang_col: str, sieve: Sieve, older: Si
                     at = place[first[i : i + (1 << 17)]]
                     yield batch_of(pa.array(names.tolist(), pa.string()).take(pa.array(number[phrases.doc[at]])), size, phrases.spans(at, size), n[i : i + (1 << 17)])
 
-    counted = texts_of(docs, text_col, lang_col).mapInArrow(run, "lang string, size int, phrase string, f bigint")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
+    with sent(docs.sparkSession, (sieve, older)) as filters:
+        counted = texts_of(docs, text_col, lang_col).mapInArrow(run, "lang string, size int, phrase string, f bigint")
+        return store(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
 
 
-def failures(counted: DataFrame, sieve: Sieve) -> DataFrame:
-    """``hash`` of frequent phrases that the proposal does not have and that can be part of longer ones."""
-    sent = counted.sparkSession.sparkContext.broadcast(sieve)
+def parts_of_longer(counted: DataFrame, sieve: Sieve) -> DataFrame:
+    """Stored ``hash, missed`` of frequent phrases that can be part of longer ones; missed: the proposal does not have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,24 +169,25 @@ def failures(counted: DataFrame, sieve: Sieve) -> DataFrame:
                 for _, phrases in blocks_of(iter([part])):
                     first = np.searchsorted(phrases.doc, np.arange(phrases.doc[-1] + 1 if len(phrases.doc) else 0))
                     hashes = next(h for s, h, _ in phrases.levels() if s == size)[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[~sent.value.has(hashes)].view(np.int64))], ["hash"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(~proposed.value.has(hashes))], ["hash", "missed"])
 
-    return counted.filter((F.col("size") > 0) & (F.col("size") < LONGEST)).mapInArrow(run, "hash bigint")
+    with sent(counted.sparkSession, sieve) as proposed:
+        return store(counted.filter((F.col("size") > 0) & (F.col("size") < LONGEST)).mapInArrow(run, "hash bigint, missed boolean"), "phrases-parts")
 
 
 def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST, sample: int = SAMPLE, lowered: int = LOWERED, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int]:
     """``lang, size, phrase, f`` of all phrases with ``least`` occurrences (and the words of each language, size 0), and the number of full passes."""
-    sieve, older, parts = sieve_of(propose(docs, id_col, text_col, lang_col, sample, lowered), filter_bits), None, []
+    proposal = store(propose(docs, id_col, text_col, lang_col, sample, lowered), "phrases-proposed")
+    sieve, older, every, passes = sieve_of(proposal, filter_bits), None, None, 0
     while True:
-        parts.append(store(count(docs, text_col, lang_col, sieve, older, least), "phrases"))
-        missed = store(failures(parts[-1], sieve), "phrases-missed")
-        if missed.isEmpty():
-            break
-        older, sieve = sieve, sieve_of(missed, filter_bits, sieve)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every, len(parts)
+        counted, passes = count(docs, text_col, lang_col, sieve, older, least), passes + 1
+        every = counted if every is None else every.unionByName(counted)
+        parts = parts_of_longer(counted, sieve)
+        if parts.filter("missed").isEmpty():
+            # A wrong bit of one filter only can make a phrase count in two passes; its counts are equal.
+            return every.groupBy("lang", "size", "phrase").agg(F.max("f").alias("f")), passes
+        proposal = proposal.unionByName(parts.select("hash"))
+        older, sieve = sieve, sieve_of(proposal, filter_bits)
 
 
 def exact(column: str) -> str:
