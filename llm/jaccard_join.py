@@ -14,12 +14,16 @@ more than that, the content of one group at least is untouched, so both have the
 (size class, group number, content).  Only keys with two different sets matter.
 
 1. Every block sends the keys of its distinct sets to hash buckets (packed); a bucket answers
-   for each key that several sets share with a *hub*, the smallest of them.
-2. Sets go to their hubs, a crowded hub in chunks of about ``CHUNK`` sets, each with the hub.
-   Inside a chunk an R-tree over the counts finds all links, except between sets that are
-   connected already.  Components are merged by label propagation over the found links.
-3. Hubs in several chunks: sets that did not get into their hub's component meet every
-   other set of the hub, chunk by chunk.  After that no link between components is left.
+   for each key that several sets share with a *hub*, the smallest of them.  Only pairs (set, hub) come out.
+2. A set goes to one of its hubs, a crowded hub in chunks of about ``CHUNK`` sets, each with the hub.
+   First only points go, and an R-tree over them finds the sets that can be linked; then the tokens of these go, and
+   all their links are found, except between sets that are connected already.
+   Components are merged by label propagation over the found links.
+3. In hubs with sets outside the hub's component, those meet every other set of the hub, in blocks against
+   chunks, again points first.  After that no link between components is left.
+
+Texts do not travel: points and tokens are made from the input again where they are needed, which a bit filter of set
+ids of a fixed size tells (`_sieve`).
 
 Equal sets are one set from the start, so copies cost nothing beyond one membership row each.
 
@@ -35,19 +39,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm._anchors import ROW, as_batch, by_bucket, ids_from_bytes, ids_to_bytes, split
-from llm._common import NOT_WHITE, U64, Block, buckets, hash_runs, hash_spans, lower, mix, new_block_id, pack, read, store, text_blocks, unpack, words
+from llm._anchors import ROW, as_batch
+from llm._common import NOT_WHITE, U64, Block, bucket_of, buckets, hash_runs, hash_spans, lower, mix, new_block_id, pack, read, store, text_blocks, unpack, words
+from llm._sieve import Sieve, sent, sieve_of
 from llm.registry import query
 
 SHINGLE = 3
 PERCENT = 90
-GROUPS = 32
+GROUPS = 256
 NODE = 16
 CHUNK = 256
+#: Keys only bring sets together, so 48 bits of their hash are enough.
+KEY_BITS = U64(0xFFFFFFFFFFFF0000)
 
 
 def least_overlap(a, b, percent: int):
@@ -131,6 +138,11 @@ def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray, percent:
     return np.concatenate([*keys, np.zeros(0, U64)]), np.concatenate([*docs, np.zeros(0, np.int64)])
 
 
+def point_of(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by group."""
+    return np.bincount((tokens & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+
+
 class Tree:
     """R-tree over points: nodes of ``NODE`` neighbours in size and counts, with upper corners and size ranges."""
 
@@ -155,7 +167,7 @@ class Tree:
 def links(sets: list[np.ndarray], component: np.ndarray, askers: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets which links with an asker connect; ``component``: known connections."""
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+    points = np.stack([point_of(s) for s in sets]).astype(np.int64)
     tree, label, found = Tree(sizes, points, percent), component.copy(), []
     for row in np.flatnonzero(askers):
         mine, open_ = sets[row], label != label[row]
@@ -187,126 +199,174 @@ def connect(edges: DataFrame, label: str) -> DataFrame:
             return labels
 
 
-FOUND = "hub bigint, sid bigint, tokens binary, doc_id bigint, n_shingles bigint"
+def block_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int):
+    """Rows of (id, text), and a function from their batches to (block, tokens, bounds, set ids, first document of each set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for part in text_blocks(batches):
+            token, bounds = shingle_sets(part, shingle)
+            sid = set_ids(token, bounds)
+            _, first = np.unique(sid, return_index=True)
+            yield part, token, bounds, sid, first[sid[first] > 0]
+
+    return docs.select(F.col(id_col).cast("bigint"), text_col), run
 
 
-def collect_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Stored rows of two kinds: (hub, sid, tokens) of sets that share a key, and (sid, doc_id, n_shingles) of every document."""
+def choose_hubs(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Stored ``sid, hub``: for every key that several sets share, the sets and the smallest of them."""
     many = buckets(docs.sparkSession)
+    rows, sets = block_sets(docs, id_col, text_col, shingle)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = new_block_id()
-        for part in text_blocks(batches):
-            token, bounds = shingle_sets(part, shingle)
-            sid = set_ids(token, bounds)
-            _, first = np.unique(sid, return_index=True)
-            keys, doc = group_keys(token, bounds, first[sid[first] > 0], percent)
-            order = np.argsort(keys, kind="stable")
-            text = zstandard.ZstdCompressor(level=1).compress(part.data.tobytes())
-            state = [np.asarray(part.offsets, np.int64).tobytes(), text, *ids_to_bytes(part.ids)]
-            yield as_batch([*by_bucket(block, many, keys[order], [sid[doc[order]]]), (block, block % many, None, state)])
+        for _, token, bounds, sid, first in sets(batches):
+            keys, doc = group_keys(token, bounds, first, percent)
+            bucket = bucket_of(keys, many)
+            order = np.lexsort((doc, bucket))  # by set, so that its id is sent once a bucket
+            keys, doc, edges = keys[order] & KEY_BITS, doc[order], np.searchsorted(bucket[order], np.arange(many + 1))
+            out = []
+            for b in range(many):
+                x, y = edges[b], edges[b + 1]
+                if x < y:
+                    who, n = np.unique(doc[x:y], return_counts=True)
+                    out.append((block, b, pack(keys[x:y]), [pack(sid[who]), pack(n)]))
+            yield as_batch(out)
             block += 1
 
-    def choose_hubs(table: pa.Table) -> pa.Table:
-        own, rows = split(table)
-        rows = rows.sort_by("block")
-        keys = [unpack(k, U64) for k in rows.column("keys").to_pylist()]
-        sids = [unpack(p[0], U64) for p in rows.column("parts").to_pylist()]
-        sizes = [len(k) for k in keys]
+    def meet(table: pa.Table) -> pa.Table:
+        keys = [unpack(k, U64) for k in table.column("keys").to_pylist()]
+        sids = [np.repeat(unpack(ids, U64), unpack(n, np.int64)) for ids, n in table.column("parts").to_pylist()]
         key, sid = np.concatenate([*keys, np.zeros(0, U64)]), np.concatenate([*sids, np.zeros(0, U64)])
-        order = np.lexsort((sid, key))  # stable: the first block that holds a set stays first
-        k, s = key[order], sid[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        head = np.ones(len(k), bool)
-        head[1:] = k[1:] != k[:-1]
+        order = np.lexsort((sid, key))
+        key, sid = key[order], sid[order]
+        head, fresh = np.ones(len(key), bool), np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        fresh[1:] = head[1:] | (sid[1:] != sid[:-1])
         run = np.cumsum(head) - 1
-        several = np.bincount(run[fresh], minlength=int(head.sum())) > 1
-        hub = np.zeros(len(key), U64)
-        if len(k):
-            hub[order] = np.where(fresh & several[run], s[head][run], U64(0))
-        answers = [(b, n, b"", [pack(h)]) for b, n, h in zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), np.split(hub, np.cumsum(sizes)[:-1]), strict=True)]
-        return pa.concat_tables([pa.Table.from_batches([as_batch(answers)]), own.cast(pa.Table.from_batches([as_batch([])]).schema)])
-
-    def send_sets(table: pa.Table) -> pa.Table:
-        own, rows = split(table)
-        offsets, text, ids, nulls = own.column("parts")[0].as_py()
-        offsets = np.frombuffer(offsets, np.int64)
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
-        token, bounds = shingle_sets(Block([None] * (len(offsets) - 1), offsets, data), shingle)
-        sid = set_ids(token, bounds)
-        _, first = np.unique(sid, return_index=True)
-        keys, doc = group_keys(token, bounds, first[sid[first] > 0], percent)
-        order = np.argsort(keys, kind="stable")
-        hub = np.concatenate([*[unpack(p[0], U64) for p in rows.sort_by("bucket").column("parts").to_pylist()], np.zeros(0, U64)])
-        doc, hub = doc[order][hub > 0], hub[hub > 0]
-        pairs = np.unique(np.stack([doc.astype(U64), hub], axis=1), axis=0) if len(doc) else np.zeros((0, 2), U64)
-        packed = {int(d): pack(token[bounds[d] : bounds[d + 1]]) for d in np.unique(pairs[:, 0]).astype(np.int64)}
-        n, m = len(pairs), len(sid)
-        where = pairs[:, 0].astype(np.int64)
-        return pa.table(
-            {
-                "hub": pa.concat_arrays([pa.array(pairs[:, 1].copy().view(np.int64)), pa.nulls(m, pa.int64())]),
-                "sid": pa.array(np.concatenate([sid[where], sid]).view(np.int64)),
-                "tokens": pa.array([packed[int(d)] for d in where] + [None] * m, pa.binary()),
-                "doc_id": pa.concat_arrays([pa.nulls(n, pa.int64()), ids_from_bytes(ids, nulls)]),
-                "n_shingles": pa.array(np.concatenate([np.zeros(n, np.int64), np.diff(bounds)])),
-            }
-        )
-
-    rows = docs.select(F.col(id_col).cast("bigint"), text_col)
-    return store(rows.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(choose_hubs, ROW).groupBy("block").applyInArrow(send_sets, FOUND), "jaccard-sets")
+        several = fresh & (np.bincount(run[fresh], minlength=int(head.sum())) > 1)[run]
+        pairs = np.unique(np.stack([sid[several], sid[head][run[several]]], axis=1), axis=0)
+        return pa.table({"sid": pa.array(pairs[:, 0].copy().view(np.int64)), "hub": pa.array(pairs[:, 1].copy().view(np.int64))})
+
+    return store(rows.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(meet, "sid bigint, hub bigint").distinct(), "jaccard-hubs")
+
+
+def describe_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wanted: Sieve) -> DataFrame:
+    """Stored ``sid, doc_id, n_shingles, point`` of every document; the point once a block, of sets that ``wanted`` has."""
+    rows, sets = block_sets(docs, id_col, text_col, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, token, bounds, sid, first in sets(batches):
+            points: list[bytes | None] = [None] * len(sid)
+            for d in first[sieve.value.has(sid[first])]:
+                points[d] = pack(point_of(token[bounds[d] : bounds[d + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), pa.array(part.ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(points, pa.binary())], ["sid", "doc_id", "n_shingles", "point"])
+
+    with sent(docs.sparkSession, wanted) as sieve:
+        return store(rows.mapInArrow(run, "sid bigint, doc_id bigint, n_shingles bigint, point binary"), "jaccard-sets")
+
+
+def tokens_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, wanted: Broadcast) -> DataFrame:
+    """``sid, tokens`` of the sets that the filter ``wanted`` has, each once."""
+    rows, sets = block_sets(docs, id_col, text_col, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, token, bounds, sid, first in sets(batches):
+            use = first[wanted.value.has(sid[first])]
+            for i in range(0, len(use), CHUNK):
+                some = use[i : i + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[some].view(np.int64)), pa.array([pack(token[bounds[d] : bounds[d + 1]]) for d in some], pa.binary())], ["sid", "tokens"])
+
+    return rows.mapInArrow(run, "sid bigint, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+
+CELL = ["hub", "chunk", "sid", "component", "asks"]
+
+
+def by_cell(table: pa.Table) -> Iterator[pa.Table]:
+    """Rows of every (hub, chunk), askers first."""
+    table = table.sort_by([("hub", "ascending"), ("chunk", "ascending"), ("asks", "descending"), ("sid", "ascending")])
+    hub, chunk = table.column("hub").to_numpy(), table.column("chunk").to_numpy()
+    edges = np.flatnonzero((np.diff(hub) != 0) | (np.diff(chunk) != 0)) + 1
+    for a, b in zip([0, *edges], [*edges, len(hub)], strict=True):
+        yield table.slice(a, b - a)
+
+
+def possible(cells: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Those rows of ``cells`` (with ``size`` and ``point``) for which the bound allows a link that is not known yet with an asker of the cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for cell in by_cell(table):
+            component, asks = cell.column("component").to_numpy(), cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            sizes, points = cell.column("size").to_numpy(), np.stack([unpack(p, np.uint32) for p in cell.column("point").to_pylist()]).astype(np.int64)
+            tree, active = Tree(sizes, points, percent), np.zeros(len(sizes), bool)
+            for row in np.flatnonzero(asks):
+                near = tree.near(int(sizes[row]), points[row], component != component[row])
+                active[near] = True
+                active[row] |= len(near) > 0
+            out.append(cell.select(CELL).filter(pa.array(active)))
+        return pa.concat_tables(out)
+
+    kind = "hub bigint, chunk bigint, sid bigint, component bigint, asks boolean"
+    return cells.withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(parts))).groupBy("part").applyInArrow(run, kind)
 
 
 def find_links(members: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Links (a, b) inside every (hub, chunk); ``members``: hub, chunk, sid, tokens, component, asks."""
+    """Links (a, b) inside every (hub, chunk); ``members``: the columns ``CELL`` and tokens."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("hub", "ascending"), ("chunk", "ascending"), ("asks", "descending"), ("sid", "ascending")])
-        hub, chunk, sid = (table.column(c).to_numpy() for c in ("hub", "chunk", "sid"))
-        component, asks = table.column("component").to_numpy(), table.column("asks").to_numpy()
-        edges = np.flatnonzero((np.diff(hub) != 0) | (np.diff(chunk) != 0)) + 1
         out = []
-        for a, b in zip([0, *edges], [*edges, len(hub)], strict=True):
-            sets = [unpack(t, U64) for t in table.column("tokens").slice(a, b - a).to_pylist()]
-            out += [(int(sid[a + i]), int(sid[a + j])) for i, j in links(sets, component[a:b], asks[a:b], percent)]
+        for cell in by_cell(table):
+            sets, sid = [unpack(t, U64) for t in cell.column("tokens").to_pylist()], cell.column("sid").to_numpy()
+            component, asks = cell.column("component").to_numpy(), cell.column("asks").to_numpy(zero_copy_only=False)
+            out += [(int(sid[i]), int(sid[j])) for i, j in links(sets, component, asks, percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return members.withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(parts))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
+    return members.withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(parts))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; linked from ``percent`` Jaccard of ``shingle``-word tokens on."""
     parts = buckets(docs.sparkSession)
-    found = collect_sets(docs, id_col, text_col, shingle, percent)
-    sent, member = found.filter(F.col("hub").isNotNull()), found.filter(F.col("hub").isNull()).select("sid", "doc_id", "n_shingles")
-    crowd = store(sent.groupBy("hub").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")), "jaccard-hubs").select("hub", "chunks")
-    placed = sent.join(crowd, "hub").withColumn("home", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    how = docs, id_col, text_col, shingle
+    pairs = choose_hubs(*how, percent)
+    described = describe_sets(*how, sieve_of(pairs.select(F.col("sid").alias("hash"))))
+    points = described.filter("point IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("size"), F.first("point").alias("point"))
+
+    def verified(cells: DataFrame, label: str) -> DataFrame:
+        """Links of cells: the bound on points first, then tokens of those that it leaves."""
+        left = store(possible(cells.join(points, "sid"), parts, percent), f"jaccard-{label}")
+        with sent(docs.sparkSession, sieve_of(left.select(F.col("sid").alias("hash")))) as wanted:
+            return store(find_links(left.join(tokens_of(*how, wanted), "sid"), parts, percent), f"jaccard-{label}-links")
+
+    # Every set goes to one of its hubs; a hub is in all of its chunks.
     own = F.col("sid") == F.col("hub")
-    # A hub is in all of its chunks; every set asks, the known components are the sets themselves.
-    first = placed.withColumn("chunk", F.explode(F.when(own, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home")))).withColumn("component", F.col("sid")).withColumn("asks", F.lit(True))
-    edges = store(find_links(first.select("hub", "chunk", "sid", "tokens", "component", "asks"), parts, percent), "jaccard-links")
+    stars = pairs.filter(~own).groupBy("sid").agg(F.min("hub").alias("hub"))
+    crowd = store(stars.groupBy("hub").count().select("hub", F.ceil(F.col("count") / CHUNK).cast("bigint").alias("chunks")), "jaccard-stars")
+    homes = stars.join(crowd, "hub").select("hub", F.pmod(F.xxhash64("sid"), F.col("chunks")).alias("chunk"), "sid")
+    cells = homes.unionByName(crowd.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("sid")))
+    edges = verified(cells.select("hub", "chunk", "sid", F.col("sid").alias("component"), F.lit(True).alias("asks")), "star")
     labels = connect(edges, "jaccard")
-    crowded = placed.filter("chunks > 1")
-    if not crowded.isEmpty():
-        named = crowded.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("component", F.coalesce("c", "sid"))
-        hubs = named.filter(own).select("hub", F.col("component").alias("hub_component"))
-        named = store(named.join(hubs, "hub").select("hub", "chunks", "home", "sid", "tokens", "component", (F.col("component") != F.col("hub_component")).alias("asks")), "jaccard-crowded")
-        lost = named.filter("asks")
-        if not lost.isEmpty():
-            # Outsiders in blocks of their own, each against every chunk of their hub.
-            blocks = store(lost.groupBy("hub").count().select("hub", F.ceil(F.col("count") / CHUNK).cast("int").alias("blocks")), "jaccard-lost")
-            wide = F.lit(1 << 32)
-            asking = lost.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")))
-            asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", F.col("chunk") + F.col("block") * wide)
-            asked = named.join(blocks, "hub").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.col("chunk") * wide + F.col("home")).withColumn("asks", F.lit(False))
-            columns = ["hub", "chunk", "sid", "tokens", "component", "asks"]
-            more = find_links(asking.select(columns).unionByName(asked.select(columns)), parts, percent)
-            edges = store(edges.unionByName(more), "jaccard-links")
-            labels = connect(edges, "jaccard")
-    grouped = member.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.when(F.col("sid") != 0, F.coalesce("c", "sid")))
-    least = grouped.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return grouped.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # Sets outside their hub's component meet every other set of the hub: outsiders in blocks, the others in chunks.
+    named = pairs.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("component", F.coalesce("c", "sid")).drop("c")
+    hubs = named.filter(own).select("hub", F.col("component").alias("hub_component"))
+    named = store(named.join(hubs, "hub").select("hub", "sid", "component", (F.col("component") != F.col("hub_component")).alias("outside")), "jaccard-named")
+    mixed = named.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("outside").alias("m")).filter("m > 0")
+    mixed = store(mixed.select("hub", F.ceil(F.col("n") / CHUNK).cast("bigint").alias("chunks"), F.ceil(F.col("m") / CHUNK).cast("bigint").alias("blocks")), "jaccard-mixed")
+    if not mixed.isEmpty():
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        place = lambda count: F.pmod(F.xxhash64("sid", F.lit(1)), F.col(count))
+        rows = named.join(mixed, "hub")
+        asking = rows.filter("outside").withColumn("block", place("blocks")).withColumn("chunk", every("chunks"))
+        asked = rows.withColumn("chunk", place("chunks")).withColumn("block", every("blocks"))
+        cell = [F.col("hub"), (F.col("chunk") * F.lit(1 << 32) + F.col("block")).alias("chunk"), F.col("sid"), F.col("component")]
+        cells = asking.select(*cell, F.lit(True).alias("asks")).unionByName(asked.select(*cell, F.lit(False).alias("asks")))
+        more = verified(cells, "outside")
+        labels = connect(edges.unionByName(more), "jaccard")
+    sets = described.filter("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("own"))
+    sets = store(sets.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("sid", "own", F.coalesce("c", "sid").alias("c")), "jaccard-components")
+    least = sets.join(sets.groupBy("c").agg(F.min("own").alias("least")), "c").select("sid", "least")
+    return described.select("sid", "doc_id", "n_shingles").join(least, "sid", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 @query("op10_jaccard_join")

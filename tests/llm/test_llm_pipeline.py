@@ -24,8 +24,9 @@ def test_filters(spark, sf, stages):
     docs, clean, single, fresh, *_ = stages
     toxic = toxicity.judged(spark, docs, sf).filter("toxic").count()
     assert toxic and clean.count() == docs.count() - toxic
-    groups = jaccard_join.components(clean).filter("n_shingles > 0").agg(F.countDistinct("component_id")).first()[0]
-    wordless = jaccard_join.components(clean).filter("n_shingles = 0").count()
+    linked = jaccard_join.components(pipeline.keyed(clean), id_col="row_key", shingle=pipeline.NEAR_SHINGLE, percent=pipeline.NEAR_PERCENT)
+    groups = linked.filter("n_shingles > 0").agg(F.countDistinct("component_id")).first()[0]
+    wordless = linked.filter("n_shingles = 0").count()
     assert single.count() == groups + wordless and single.filter("doc_id = 9002").count() == 1
     bad = decontamination.judged(single, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").count()
     assert bad and fresh.count() == single.count() - bad
@@ -41,5 +42,5 @@ def test_columns_and_records(spark, stages):
 
 def test_registered(spark, sf):
     names = {name.split("_")[0] for name in entry.queries() if name.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert entry.queries()["pipeline"](spark, sf).count() > 0
