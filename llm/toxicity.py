@@ -13,16 +13,18 @@ so that a later model does not trust an earlier one more than it deserves.
 3. *Prediction.*  One pass over all whole texts; nothing is shuffled.
 
 A text counts as toxic when the last category's probability reaches the
-threshold that maximises F1 on out-of-fold predictions.
+threshold that maximises F1 on out-of-fold predictions, among those that catch at least ``LEAST_CAUGHT`` labelled
+texts and are right about ``LEAST_PRECISION`` of what they catch.  With few labels there may be none; then the threshold is 0.5.
 
-Texts without any chosen feature, among them null, empty and wordless ones, get the models'
+Texts without any feature chosen for the last category, among them null, empty and wordless ones, get the models'
 base probabilities and are never toxic.  Repeated rows are judged alike.  Labels that are null do not train their
 category; without a labelled row of both classes the category's probability is its share
-(0 where there are none).  Columns named like the added ones are replaced.
+(0 where there are none), and if that is the last category, no text is toxic.  Columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,10 @@ PER_CATEGORY = 20_000
 #: The best so many are chosen whatever their z-score, since small samples reach no high one.
 AT_LEAST = 150
 FOLDS = 4
+#: What a threshold must do on out-of-fold predictions.
+LEAST_CAUGHT, LEAST_PRECISION = 10, 0.5
+#: Threshold that no probability reaches.
+NEVER = 2.0
 
 
 def block_features(block: Block, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +92,8 @@ def block_features(block: Block, chosen: np.ndarray | None = None) -> tuple[np.n
     return doc, feature
 
 
-def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted features, and for every fold (then for none) which of them are chosen without looking at it.
+def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted features, for every fold (then for none) which of them are chosen without looking at it, and which for the last category.
 
     A category's features are those whose presence differs between its classes by a z-score of at least ``Z_FLOOR``.
     """
@@ -113,11 +119,13 @@ def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarra
     cells = [(i, k) for i in range(size) for k in range(FOLDS)]
     part = lambda k, test: F.sum(F.when((fold == k) & test, F.col("n")).otherwise(0))
     sums = counted.groupBy("feature").agg(*[part(k, code[i] == 1).alias(f"pos{i}_{k}") for i, k in cells], *[part(k, code[i] < 2).alias(f"all{i}_{k}") for i, k in cells])
-    sums = store(sums.filter(sum(F.col(f"all{i}_{k}") for i, k in cells) >= 3 * size), "toxicity-features")
+    enough = [sum(F.col(f"all{i}_{k}") for k in range(FOLDS)) >= 3 for i in range(size)]  # of texts labelled in a category
+    sums = store(sums.filter(functools.reduce(Column.__or__, enough)), "toxicity-features")
     totals = {(r.fold, i): (r[f"p{i}"] or 0, r[f"n{i}"]) for r in sample.groupBy("fold").agg(*[x for i, c in enumerate(categories) for x in (F.sum(c).alias(f"p{i}"), F.count(c).alias(f"n{i}"))]).collect() for i in range(size)}
     picked: list[set[int]] = []
     for left_out in (*range(FOLDS), None):
         picked.append(set())
+        last: set[int] = set()
         for i in range(size):
             folds = [k for k in range(FOLDS) if k != left_out]
             p, n = (sum(totals.get((k, i), (0, 0))[j] for k in folds) for j in (0, 1))
@@ -128,9 +136,12 @@ def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarra
             difference = positive / F.lit(float(p)) - (every - positive) / F.lit(float(n - p))
             z = F.abs(difference) / F.sqrt(mean * (1 - mean) * (1.0 / p + 1.0 / (n - p)) + 1e-9)
             best = sums.filter(every >= 3).orderBy(F.desc(z), "feature").limit(PER_CATEGORY).select("feature", z.alias("z")).collect()
-            picked[-1].update(r.feature for place, r in enumerate(best) if place < AT_LEAST or r.z >= Z_FLOOR)
+            good = {r.feature for place, r in enumerate(best) if place < AT_LEAST or r.z >= Z_FLOOR}
+            picked[-1] |= good
+            last = good if i == size - 1 else last
     chosen = np.sort(np.array(sorted(set().union(*picked)), np.int64).view(U64))
-    return chosen, [np.isin(chosen, np.array(sorted(x), np.int64).view(U64)) for x in picked]
+    *masks, of_last = [np.isin(chosen, np.array(sorted(x), np.int64).view(U64)) for x in (*picked, last)]
+    return chosen, masks, of_last
 
 
 class Linear:
@@ -166,26 +177,28 @@ class Linear:
 class Chain:
     """Linear models in sequence over chosen features."""
 
-    def __init__(self, categories: list[str], chosen: np.ndarray, models: list[Linear], threshold: float):
-        self.categories, self.chosen, self.models, self.threshold = categories, chosen, models, threshold
+    def __init__(self, categories: list[str], chosen: np.ndarray, of_last: np.ndarray, models: list[Linear], threshold: float):
+        self.categories, self.chosen, self.of_last, self.models, self.threshold = categories, chosen, of_last, models, threshold
 
     def predict(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities, and which documents show any chosen feature."""
+        """Probabilities, and which documents show any feature chosen for the last category."""
         doc, feature = block_features(block, self.chosen)
         dense = np.zeros((len(block), 0))
         for model in self.models:
             p = model.predict(doc, feature.astype(np.int64), len(block), dense)
             dense = np.column_stack([dense, p])
-        return dense, np.bincount(doc, minlength=len(block)) > 0
+        return dense, np.bincount(doc[self.of_last[feature.astype(np.int64)]], minlength=len(block)) > 0
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap that maximises F1 of ``p >= threshold``."""
+    """Middle of the gap that maximises F1 of ``p >= threshold``; 0.5 where none catches enough with enough precision."""
     order = np.argsort(-p, kind="stable")
-    p, hit = p[order], np.cumsum(y[order])
+    p, hit, many = p[order], np.cumsum(y[order]), np.arange(1, len(p) + 1)
     last = np.append(p[1:] != p[:-1], True)
-    score = np.where(last, 2 * hit / (np.arange(1, len(p) + 1) + max(hit[-1], 1)), -1)
-    i = int(np.argmax(score))
+    fair = last & (hit >= LEAST_CAUGHT) & (hit >= LEAST_PRECISION * many)
+    if not fair.any():
+        return 0.5
+    i = int(np.argmax(np.where(fair, 2 * hit / (many + hit[-1]), -1)))
     return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0.0)) / 2)
 
 
@@ -196,7 +209,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(max_labelled)
     picked = picked.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
     sample = store(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxicity-sample")  # at most max_labelled short rows
-    chosen, picks = choose_features(sample, names)
+    chosen, picks, of_last = choose_features(sample, names)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +227,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     features = [np.array(x, np.int64) for x in rows.column("features").to_pylist()]
     features = [features[i] for i in order]
     fold = np.array(rows.column("fold").to_pylist(), np.int64)[order]
-    dense, models, threshold = np.zeros((len(order), 0)), [], 0.5
+    dense, models, threshold = np.zeros((len(order), 0)), [], NEVER
 
     def pairs(which: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chosen_rows = [features[i][pick[features[i]]] for i in which]
@@ -229,10 +242,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
             p[out] = Linear.fit(*pairs(train, picks[k]), dense[train], y[train], len(chosen)).predict(*pairs(out, picks[k]), len(out), dense[out])
         train = np.flatnonzero(usable)
         models.append(Linear.fit(*pairs(train, picks[-1]), dense[train], y[train], len(chosen)))
-        if len(train):
-            threshold = best_threshold(p[train], y[train])
+        threshold = best_threshold(p[train], y[train]) if 0 < y[train].sum() < len(train) else NEVER
         dense = np.column_stack([dense, p])
-    return Chain(names, chosen, models, threshold)
+    return Chain(names, chosen, of_last, models, threshold)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
