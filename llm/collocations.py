@@ -12,8 +12,7 @@ that occurs ``least`` times has parts that do, too.
    pass counts what is new in the border.  This goes on until no frequent phrase is outside; then none is missed.  Each failure
    of a later pass is longer than one of an earlier pass, so there are ``LONGEST`` passes at most.
 
-Blocks of texts count inside numpy and send one row per phrase; phrases meet as texts, so equal hashes
-of different phrases can only mix inside one block (64 bits).
+Blocks of texts count inside numpy and send one row per phrase, its 64-bit hash; the texts of frequent phrases are read in a last pass.
 
 Everything is per ``lang`` (null: ``und``).  Null, empty and wordless texts have no phrases; repeated rows count each; null
 ids are documents like others; texts and words of any length are taken whole.  Other columns are ignored; an empty table
@@ -26,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +41,8 @@ INSIDE_PERCENT = 80
 TOP = 2000
 #: A language's candidates are first ranked in so many parts.
 RANK_PARTS = 64
+#: Text that a task counts at a time.
+BLOCK_BYTES = 4 << 20
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -106,7 +106,7 @@ def lang_hashes(langs: list[str]) -> np.ndarray:
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Phrases]]:
     """Blocks of (lang, text) batches."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, BLOCK_BYTES):
         langs = ["und" if x is None else x for x in block.ids]
         yield langs, Phrases(block, langs)
 
@@ -129,65 +129,75 @@ def propose(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
 
 
 def count(docs: DataFrame, text_col: str, lang_col: str, sieve: Sieve, older: Sieve | None, least: int) -> DataFrame:
-    """Stored ``lang, size, phrase, f`` of frequent phrases that count with ``sieve`` and did not with ``older``.
-
-    Without ``older`` also one row of size 0 per language with the number of all words.
-    """
-
-    def batch_of(langs: list[str] | pa.Array, size: int, texts: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), texts.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "f"])
+    """Stored ``hash, size, f`` of frequent phrases that count with ``sieve`` and did not with ``older``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, older = filters.value
-        for langs, phrases in blocks_of(batches):
-            names, number = np.unique(np.array(langs, object), return_inverse=True)
-            if older is None:
-                total = np.bincount(number[phrases.doc], minlength=len(names))
-                yield batch_of(names.tolist(), 0, pa.array([""] * len(names)), total)
+        for _, phrases in blocks_of(batches):
             before = phrases.counted(older) if older is not None else None
             for size, hashes, counts in phrases.counted(sieve):
                 if before is not None:
                     counts = counts & ~next(before)[2]
-                place = np.flatnonzero(counts)
-                _, first, n = np.unique(hashes[place], return_index=True, return_counts=True)
-                for i in range(0, len(first), 1 << 17):
-                    at = place[first[i : i + (1 << 17)]]
-                    yield batch_of(pa.array(names.tolist(), pa.string()).take(pa.array(number[phrases.doc[at]])), size, phrases.spans(at, size), n[i : i + (1 << 17)])
+                found, n = np.unique(hashes[counts], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())], ["hash", "size", "f"])
 
     with sent(docs.sparkSession, (sieve, older)) as filters:
-        counted = texts_of(docs, text_col, lang_col).mapInArrow(run, "lang string, size int, phrase string, f bigint")
-        return store(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
+        counted = texts_of(docs, text_col, lang_col).mapInArrow(run, "hash bigint, size int, f bigint")
+        return store(counted.groupBy("hash", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrases")
 
 
-def parts_of_longer(counted: DataFrame, sieve: Sieve) -> DataFrame:
-    """Stored ``hash, missed`` of frequent phrases that can be part of longer ones; missed: the proposal does not have it."""
+def missed(counted: DataFrame, sieve: Sieve) -> DataFrame:
+    """Frequent phrases that can be part of longer ones and are not in the proposal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size in range(1, LONGEST):
-                part = batch.filter(pc.equal(batch.column("size"), size)).select(["lang", "phrase"])
-                for _, phrases in blocks_of(iter([part])):
-                    first = np.searchsorted(phrases.doc, np.arange(phrases.doc[-1] + 1 if len(phrases.doc) else 0))
-                    hashes = next(h for s, h, _ in phrases.levels() if s == size)[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(~proposed.value.has(hashes))], ["hash", "missed"])
+            yield batch.filter(pa.array(~proposed.value.has(batch.column(0).to_numpy().view(U64))))
 
     with sent(counted.sparkSession, sieve) as proposed:
-        return store(counted.filter((F.col("size") > 0) & (F.col("size") < LONGEST)).mapInArrow(run, "hash bigint, missed boolean"), "phrases-parts")
+        return store(counted.filter(F.col("size") < LONGEST).select("hash").mapInArrow(run, "hash bigint"), "phrases-missed")
+
+
+def named(docs: DataFrame, text_col: str, lang_col: str, wanted: Sieve) -> DataFrame:
+    """Stored ``hash, lang, size, phrase`` of phrases that ``wanted`` has, and per language a row of size 0 with the number of all words (``n``)."""
+
+    def batch_of(hashes: np.ndarray, langs: pa.Array, size: int, texts: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(hashes.view(np.int64)), langs, pa.array(np.full(len(n), size, np.int32)), texts.cast(pa.string()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["hash", "lang", "size", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, phrases in blocks_of(batches):
+            names, number = np.unique(np.array(langs, object), return_inverse=True)
+            names = pa.array(names.tolist(), pa.string())
+            yield batch_of(np.zeros(len(names), U64), names, 0, pa.array([""] * len(names)), np.bincount(number[phrases.doc], minlength=len(names)))
+            for size, hashes, whole in phrases.levels():
+                place = np.flatnonzero(whole)
+                place = place[filter_.value.has(hashes[place])]
+                found, first = np.unique(hashes[place], return_index=True)
+                for i in range(0, len(first), 1 << 16):
+                    at = place[first[i : i + (1 << 16)]]
+                    yield batch_of(found[i : i + (1 << 16)], names.take(pa.array(number[phrases.doc[at]])), size, phrases.spans(at, size), np.zeros(len(at), np.int64))
+
+    with sent(docs.sparkSession, wanted) as filter_:
+        rows = texts_of(docs, text_col, lang_col).mapInArrow(run, "hash bigint, lang string, size int, phrase string, n bigint")
+        return store(rows.groupBy("hash", "lang", "size", "phrase").agg(F.sum("n").alias("n")), "phrases-named")
 
 
 def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST, sample: int = SAMPLE, lowered: int = LOWERED, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int]:
-    """``lang, size, phrase, f`` of all phrases with ``least`` occurrences (and the words of each language, size 0), and the number of full passes."""
+    """``lang, size, phrase, f`` of all phrases with ``least`` occurrences (and the words of each language, size 0), and the number of full counting passes."""
     proposal = store(propose(docs, id_col, text_col, lang_col, sample, lowered), "phrases-proposed")
     sieve, older, every, passes = sieve_of(proposal, filter_bits), None, None, 0
     while True:
         counted, passes = count(docs, text_col, lang_col, sieve, older, least), passes + 1
         every = counted if every is None else every.unionByName(counted)
-        parts = parts_of_longer(counted, sieve)
-        if parts.filter("missed").isEmpty():
-            # A wrong bit of one filter only can make a phrase count in two passes; its counts are equal.
-            return every.groupBy("lang", "size", "phrase").agg(F.max("f").alias("f")), passes
-        proposal = proposal.unionByName(parts.select("hash"))
+        if missed(counted, sieve).isEmpty():
+            break
+        proposal = proposal.unionByName(counted.filter(F.col("size") < LONGEST).select("hash"))
         older, sieve = sieve, sieve_of(proposal, filter_bits)
+    # A wrong bit of one filter only can make a phrase count in two passes; its counts are equal.
+    every = store(every.groupBy("hash", "size").agg(F.max("f").alias("f")), "phrases-frequent")
+    names = named(docs, text_col, lang_col, sieve_of(every, filter_bits))
+    phrases = names.filter("size > 0").join(every, ["hash", "size"]).select("lang", "size", "phrase", "f")
+    return phrases.unionByName(names.filter("size = 0").select("lang", "size", "phrase", F.col("n").alias("f"))), passes
 
 
 def exact(column: str) -> str:
