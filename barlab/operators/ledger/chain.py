@@ -2,7 +2,8 @@
 
 Whatever is open when the signal turns is closed on that same open, so the book
 is flat at the start of every run of same-side signals: acceptance is decided
-per (config, series, run) independently, from two numbers per candidate.
+per (config, series, run) independently, from two numbers per candidate.  Inside a block of bars that is a fold;
+a block hands on only where its last trade ends, and blocks are chained by pointer doubling.
 
 Capital is folded over blocks of trades: each block is reduced to the map from
 capital before to capital after, only those few numbers per block meet along a
@@ -11,11 +12,13 @@ capital before to capital after, only those few numbers per block meet along a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.indicators import whole_blocks
 from barlab.operators.ledger.entries import CANDIDATE_KEY
+from barlab.operators.ledger.exits import block_of
 from barlab.schemas import SERIES
+from barlab.session import materialize
 
 # --- fixed values: column order of a trade record ---
 TRADE_COLUMNS = [
@@ -88,15 +91,74 @@ def scan(items: Column, start: Column, step, size: int = 256) -> Column:
     )
 
 
+#: One run of same-side signals of one (config, series); ``stretch`` is where it turns, -1 at the end of the data.
+STRETCH = ["run_id", *SERIES, "sign", "stretch"]
+
+
+def chained_blocks(resolved: DataFrame) -> DataFrame:
+    """One row per (stretch, block): ``candidates`` in order, each with the ``end`` of the trades it would start.
+
+    ``end`` is where the last trade inside the block ends if this candidate is taken: the block's whole answer to
+    whichever of its candidates comes first.
+    """
+    one = F.struct("entry_index", "exit_index")
+    stretch = F.coalesce("flip_index", F.lit(-1)).alias("stretch")
+    groups = resolved.select("run_id", *SERIES, "sign", stretch, block_of(F.col("entry_index")).alias("block"), one.alias("candidate"))
+    groups = groups.groupBy(*STRETCH, "block").agg(F.sort_array(F.collect_list("candidate"), asc=False).alias("newest_first"))
+
+    def step(later: Column, item: Column) -> Column:
+        following = F.get(F.filter(later, lambda x: x["entry_index"] > item["exit_index"]), 0)
+        end = F.coalesce(following["end"], item["exit_index"])
+        return F.concat(F.array(F.struct(item["entry_index"], item["exit_index"], end.alias("end"))), later)
+
+    none = F.array().cast("array<struct<entry_index:bigint,exit_index:bigint,end:bigint>>")
+    return groups.select(*STRETCH, "block", F.aggregate("newest_first", none, step).alias("candidates"))
+
+
+def moves(blocks: DataFrame) -> DataFrame:
+    """``block, end`` -> ``next``: the first candidate after ``end`` in a later block (its block, ``start`` and ``end``)."""
+    first = F.element_at("candidates", 1)
+    opening = F.struct("block", first["entry_index"].alias("start"), first["end"].alias("end"))
+    spans = blocks.groupBy(*STRETCH).agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    spans = spans.select(*STRETCH, F.explode(F.sequence("low", "high")).alias("block"))
+    latest_first = Window.partitionBy(*STRETCH).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = spans.join(blocks.withColumn("opening", opening), [*STRETCH, "block"], "left")
+    known = known.withColumn("later", F.last("opening", ignorenulls=True).over(latest_first)).select(*STRETCH, F.col("block").alias("at"), "candidates", "later")
+    ends = F.explode(F.array_distinct(F.transform("candidates", lambda c: c["end"])))
+    left = blocks.select(*STRETCH, "block", ends.alias("end")).withColumn("at", F.greatest("block", block_of(F.col("end"))))
+    inside = F.when(F.col("at") > F.col("block"), F.get(F.filter("candidates", lambda c: c["entry_index"] > F.col("end")), 0))
+    there = F.when(inside.isNotNull(), F.struct(F.col("at").alias("block"), inside["entry_index"].alias("start"), inside["end"].alias("end")))
+    met = left.join(known, [*STRETCH, "at"]).select(*STRETCH, "block", "end", F.coalesce(there, "later").alias("next"))
+    return met.where(F.col("next").isNotNull())
+
+
+def first_taken(blocks: DataFrame) -> DataFrame:
+    """``block, start, end`` of every block in which a candidate is taken: ``start`` is the first of them.
+
+    The chain of blocks of a stretch is followed by pointer doubling: a round joins what is reached with moves twice as
+    long, so rounds grow with the logarithm of the longest chain.
+    """
+    first = F.element_at("candidates", 1)
+    head = F.min(F.struct("block", first["entry_index"].alias("start"), first["end"].alias("end"))).alias("head")
+    reached = blocks.groupBy(*STRETCH).agg(head).select(*STRETCH, "head.*")
+    jumps = materialize(moves(blocks), "moves")
+    while True:
+        more = materialize(reached.join(jumps, [*STRETCH, "block", "end"]).select(*STRETCH, "next.*"), "reached")
+        if more.isEmpty():
+            return reached
+        reached = reached.unionByName(more)
+        onward = jumps.select(*STRETCH, F.col("block").alias("to_block"), F.col("end").alias("to_end"), F.col("next").alias("onward"))
+        halfway = jumps.select(*STRETCH, "block", "end", F.col("next.block").alias("to_block"), F.col("next.end").alias("to_end"))
+        jumps = materialize(halfway.join(onward, [*STRETCH, "to_block", "to_end"]).select(*STRETCH, "block", "end", F.col("onward").alias("next")), "moves")
+
+
 def accept(resolved: DataFrame) -> DataFrame:
     """Keep candidates that start after the previous accepted one ended.
 
     ``resolved`` is read twice: for the two numbers the decision needs, and for
     the rows that are kept.
     """
-    grouped = resolved.groupBy("run_id", *SERIES, "sign", "flip_index").agg(
-        F.sort_array(F.collect_list(F.struct("entry_index", "exit_index"))).alias("candidates")
-    )
+    blocks = materialize(chained_blocks(resolved), "stretches")
 
     def step(free_after: Column, item: Column) -> Column:
         taken = item["entry_index"] > free_after
@@ -105,9 +167,11 @@ def accept(resolved: DataFrame) -> DataFrame:
             F.when(taken, item["entry_index"]).alias("out"),
         )
 
-    entries = scan(F.col("candidates"), F.lit(-1).cast("bigint"), step)
+    entries = scan(F.col("candidates"), F.col("start") - 1, step)
     accepted = (
-        grouped.select("run_id", *SERIES, F.explode(entries).alias("entry_index")).where(F.col("entry_index").isNotNull())
+        blocks.join(first_taken(blocks), [*STRETCH, "block"])
+        .select("run_id", *SERIES, F.explode(entries).alias("entry_index"))
+        .where(F.col("entry_index").isNotNull())
     )
     return resolved.join(accepted, CANDIDATE_KEY, "left_semi")
 

@@ -1,15 +1,19 @@
 """Marked-to-market equity, one row per run and bar.
 
 Trades cut the bars of a run into segments that are either flat or hold one
-position.  Segments meet the packed bars by (series, block) and unpack there; the
-per-bar rows are born in place and are not shuffled again, also not for peaks.
+position.  For the curve, segments meet the packed bars by (series, block) and unpack there; the
+per-bar rows are born in place and are not shuffled again.
+
+Drawdowns do not need the curve.  A flat segment is one row, and a held one is one row per block, folded in
+place to its record highs and the lowest equity after each: such summaries compose in order with the highest equity before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlab.operators.ledger.exits import open_bars, place
+from barlab.operators.ledger import exits
+from barlab.operators.ledger.exits import bars_between, block_of, copies, open_bars, place
 from barlab.schemas import SERIES
 
 EQUITY_COLUMNS = ["timestamp", "equity", "capital", "realized_equity", "position_side"]
@@ -57,42 +61,69 @@ def segments(runs: DataFrame, trades: DataFrame) -> DataFrame:
     return idle.unionByName(traded).where(F.col("from_index") <= F.col("to_index"))
 
 
-def _place(runs: DataFrame, trades: DataFrame) -> DataFrame:
-    return place(segments(runs, trades), F.col("from_index"), F.col("to_index"))
-
-
-def _mark(placed: DataFrame, packed: DataFrame, *extra: str) -> DataFrame:
+def _mark(placed: DataFrame, packed: DataFrame) -> DataFrame:
     rows = open_bars(placed, packed, F.col("from_index"), F.col("to_index"))
     sign = F.col("sign")
     mark = F.when(sign != 0, (sign * F.col("close") - F.col("entry_s")) * F.col("size")).otherwise(F.lit(0.0))
     return rows.select(
         "run_id",
         *SERIES,
-        "block",
-        "salt",
         "bar_index",
         "timestamp",
         (F.col("capital") + mark).alias("equity"),
         "capital",
         F.col("capital").alias("realized_equity"),
         F.when(sign > 0, "long").when(sign < 0, "short").otherwise("flat").alias("position_side"),
-        *extra,
     )
 
 
 def equity_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame) -> DataFrame:
     """``packed`` bars need timestamp and close."""
-    return _mark(_place(runs, trades), packed)
-
-
-def peaked_curve(runs: DataFrame, trades: DataFrame, packed: DataFrame) -> DataFrame:
-    """The curve with ``top_before``: the highest equity of earlier blocks.
-
-    The curve is laid out twice rather than shuffled once: block tops come from
-    an aggregation where the rows are born, and return on the sparse segments.
-    """
-    placed = _place(runs, trades)
-    tops = _mark(placed, packed).groupBy("run_id", *SERIES, "block", "salt").agg(F.max("equity").alias("top"))
-    earlier = Window.partitionBy("run_id", *SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = tops.select("run_id", *SERIES, "block", F.max("top").over(earlier).alias("top_before"))
-    return _mark(placed.join(before, ["run_id", *SERIES, "block"]), packed, "top_before")
+    return _mark(place(segments(runs, trades), F.col("from_index"), F.col("to_index")), packed)
+
+
+def _record_highs() -> Column:
+    """Fold ``span`` of a held position: finished steps, the step at hand (peak and lowest equity since) and the last equity."""
+    none = F.lit(None).cast("double")
+    pair = lambda state: F.array(F.struct(state["peak"].alias("peak"), state["low"].alias("low")))
+    state = lambda done, peak, low, now: F.struct(done.alias("done"), peak.alias("peak"), low.alias("low"), now.alias("now"))
+
+    def step(so_far: Column, bar: Column) -> Column:
+        now = F.col("capital") + (F.col("sign") * bar["close"] - F.col("entry_s")) * F.col("size")
+        lower = state(so_far["done"], so_far["peak"], F.least(so_far["low"], now), now)
+        done = F.when(so_far["peak"].isNull(), so_far["done"]).otherwise(F.concat(so_far["done"], pair(so_far)))
+        higher = state(done, now, now, now)
+        return F.when(now.isNull() | (now <= so_far["peak"]), lower).otherwise(higher)
+
+    start = state(F.array().cast("array<struct<peak:double,low:double>>"), none, none, none)
+    return F.aggregate("span", start, step, lambda s: F.struct(F.concat(s["done"], pair(s)).alias("steps"), s["peak"].alias("top"), s["now"].alias("ending")))
+
+
+def stretches(runs: DataFrame, trades: DataFrame, packed: DataFrame) -> DataFrame:
+    """``run_id``, series, ``start``, ``capital``, ``steps`` (peak, low), ``top`` and ``ending``: flat segments, and held ones by block."""
+    parts = segments(runs, trades)
+    level = F.struct(F.array(F.struct(F.col("capital").alias("peak"), F.col("capital").alias("low"))).alias("steps"), F.col("capital").alias("top"), F.col("capital").alias("ending"))
+    flat = parts.where("sign = 0").select("run_id", *SERIES, F.col("from_index").alias("start"), "capital", level.alias("course"))
+    held = place(parts.where("sign <> 0"), F.col("from_index"), F.col("to_index")).join(copies(packed.select(*SERIES, "block", "bars", "salts")), [*SERIES, "block", "salt"])
+    held = held.withColumn("span", bars_between(F.col("from_index"), F.col("to_index")))
+    start = F.greatest(F.col("from_index"), F.col("block") * F.lit(exits.PACK))
+    held = held.select("run_id", *SERIES, start.alias("start"), "capital", _record_highs().alias("course"))
+    return flat.unionByName(held).select("run_id", *SERIES, "start", "capital", "course.*")
+
+
+def falls(pieces: DataFrame) -> DataFrame:
+    """``stretches`` with ``fall`` and ``fall_pct``: the deepest fall of each from the highest equity up to there."""
+    rows = pieces.withColumn("block", block_of(F.col("start")))
+    run = ["run_id", *SERIES]
+    tops = rows.groupBy(*run, "block").agg(F.max("top").alias("top"))
+    before = Window.partitionBy(*run).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*run, "block", F.max("top").over(before).alias("top_before"))
+    inside = Window.partitionBy(*run, "block").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(tops, [*run, "block"]).withColumn("top_before", F.greatest("top_before", F.max("top").over(inside)))
+    peak = lambda s: F.greatest(F.col("top_before"), s["peak"])
+    return rows.withColumns(
+        {
+            "fall": F.array_min(F.transform("steps", lambda s: s["low"] - peak(s))),
+            "fall_pct": F.array_min(F.transform("steps", lambda s: F.try_divide(s["low"], peak(s)) - 1)),
+        }
+    )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from barlab.operators.ledger.equity import falls
 from barlab.schemas import SERIES
 
 RUN = ["run_id", *SERIES]
@@ -69,32 +70,25 @@ def trade_totals(trades: DataFrame, keys: list[str] = RUN) -> DataFrame:
     )
 
 
-def drawdowns(curve: DataFrame) -> DataFrame:
-    """Deepest fall from the running peak, in money and as a fraction.
-
-    ``curve`` is a ``peaked_curve``: peaks run inside each (run, block), earlier
-    blocks enter through ``top_before``.  ``salt`` depends on the run only; naming
-    it keeps the partitioning the rows were born with.
-    """
-    inside = Window.partitionBy(*RUN, "block", "salt").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
-    peaked = curve.withColumn("peak", F.greatest(F.max("equity").over(inside), F.col("top_before")))
-    return peaked.groupBy(*RUN).agg(
-        F.min(F.col("equity") - F.col("peak")).alias("max_drawdown"),
-        F.min(F.try_divide(F.col("equity"), F.col("peak")) - 1).alias("max_drawdown_pct"),
-        F.max_by("equity", "bar_index").alias("ending_equity"),
-        F.max_by("capital", "bar_index").alias("final_capital"),
+def drawdowns(pieces: DataFrame) -> DataFrame:
+    """Deepest fall from the running peak, in money and as a fraction; ``pieces`` are the ``stretches`` of the runs."""
+    return falls(pieces).groupBy(*RUN).agg(
+        F.min("fall").alias("max_drawdown"),
+        F.min("fall_pct").alias("max_drawdown_pct"),
+        F.max_by("ending", "start").alias("ending_equity"),
+        F.max_by("capital", "start").alias("final_capital"),
     )
 
 
-def run_metrics(runs: DataFrame, trades: DataFrame, curve: DataFrame) -> DataFrame:
+def run_metrics(runs: DataFrame, trades: DataFrame, pieces: DataFrame) -> DataFrame:
     """One row per run of ``runs`` (run_id, series, initial_capital), also without trades.
 
-    ``curve`` is the ``peaked_curve`` of the runs.
+    ``pieces`` are the ``stretches`` of the runs.
     """
     joined = (
         runs.select(*RUN, "initial_capital")
         .join(trade_totals(trades), RUN, "left")
-        .join(drawdowns(curve), RUN, "left")
+        .join(drawdowns(pieces), RUN, "left")
     )
     total = F.coalesce("total_trades", F.lit(0))
     zero = lambda column: F.coalesce(column, F.lit(0.0))

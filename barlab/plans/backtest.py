@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
-from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,11 +11,10 @@ from barlab.functions.indicators import with_indicators
 from barlab.operators.ledger.chain import accept, settle
 from barlab.operators.ledger.configs import check_configs, required_atrs
 from barlab.operators.ledger.entries import SIGNAL_ROW, align_signals, candidate_entries
-from barlab.operators.ledger.equity import equity_curve, peaked_curve
+from barlab.operators.ledger.equity import equity_curve, stretches
 from barlab.operators.ledger.exits import (
     DIAGNOSTICS,
-    FIRST_HORIZON,
-    first_hits,
+    FIRST_BLOCKS,
     fixed_hits,
     pack_bars,
     ratchet_hits,
@@ -46,8 +44,7 @@ class Book:
 
     @property
     def metrics(self) -> DataFrame:
-        curve = peaked_curve(self.runs, self.trades, self.packed)
-        return run_metrics(self.runs, self.trades, curve)
+        return run_metrics(self.runs, self.trades, stretches(self.runs, self.trades, self.packed))
 
 
 @dataclass
@@ -79,7 +76,7 @@ def keep_book(
     *,
     atr_columns: list[str],
     ma_columns: list[str],
-    first_horizon: int = FIRST_HORIZON,
+    first_blocks: int = FIRST_BLOCKS,
 ) -> Book:
     """Resolve all runs over materialised, indexed bars.
 
@@ -89,22 +86,16 @@ def keep_book(
     summary = bars.groupBy(*SERIES).agg(F.max("last_index").alias("last_index"))
     salts = runs.groupBy(*SERIES).agg(F.first("salts").alias("salts"))
     # Read several times below: written once.
-    packed = pack_bars(bars, ["timestamp", "high", "low", "close", *atr_columns, *ma_columns])
-    packed = materialize(packed.join(salts, SERIES), "packed")
+    levels = [*atr_columns, *ma_columns]
+    packed = materialize(pack_bars(bars, ["timestamp", "high", "low", "close"], levels).join(salts, SERIES), "packed")
     candidates = materialize(candidate_entries(signal_rows, runs, atr_columns, ma_columns), "candidates")
 
     kinds = {row[0] for row in runs.select("ratchets").distinct().collect()}
-    hits = partial(first_hits, packed=packed, first_horizon=first_horizon)
     leveled = candidates.where("has_exit_level")
-    outcomes = None
-    if False in kinds:
-        outcomes = hits(leveled.where("NOT ratchets"), follow=fixed_hits)
+    outcomes = fixed_hits(leveled.where("NOT ratchets"), packed) if kinds != {True} else None
     if True in kinds:
-        moving = partial(ratchet_hits, atr_columns=atr_columns, ma_columns=ma_columns)
-        ratcheted = hits(leveled.where("ratchets"), follow=moving)
+        ratcheted = ratchet_hits(leveled.where("ratchets"), packed, levels=levels, first_blocks=first_blocks)
         outcomes = ratcheted if outcomes is None else outcomes.unionByName(ratcheted)
-    if outcomes is None:
-        outcomes = hits(leveled, follow=fixed_hits)
 
     kept = [
         "run_id",
@@ -137,7 +128,7 @@ def keep_book(
     return Book(live, rejected, bars, packed, candidates, trades, signals)
 
 
-def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *, first_horizon: int = FIRST_HORIZON) -> Book:
+def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *, first_blocks: int = FIRST_BLOCKS) -> Book:
     """Run every config row over the series it names, all sharing ``signals``.
 
     ``signals`` may carry ``short_sma, long_sma`` or ``ma_fast, ma_slow`` for MA
@@ -183,5 +174,5 @@ def run_backtest(candles: DataFrame, signals: DataFrame, configs: DataFrame, *,
         checked.where(F.col("error").isNotNull()),
         atr_columns=atr_columns,
         ma_columns=ma_columns,
-        first_horizon=first_horizon,
+        first_blocks=first_blocks,
     )

@@ -48,14 +48,16 @@ def random_run(rng: random.Random) -> dict:
     return run
 
 
-@pytest.mark.parametrize("seed, horizon, runs_per_salt", [(1, 4096, 64), (2, 8, 5)])
-def test_random_settings(spark, sf, seed, horizon, runs_per_salt, monkeypatch):
-    """``horizon=8`` forces several passes over unresolved candidates, 5 runs per salt several copies of the bars."""
+@pytest.mark.parametrize("seed, pack, zones, blocks, runs_per_salt", [(1, 512, 512, 8, 64), (2, 3, 2, 1, 5)])
+def test_random_settings(spark, sf, seed, pack, zones, blocks, runs_per_salt, monkeypatch):
+    """Blocks of 3 bars force summaries, zones and several passes over candidates; 5 runs per salt several copies of the bars."""
     monkeypatch.setattr(exits, "RUNS_PER_SALT", runs_per_salt)
+    monkeypatch.setattr(exits, "PACK", pack)
+    monkeypatch.setattr(exits, "ZONES", zones)
     rng = random.Random(seed)
     runs = [{**random_run(rng), "strategy_name": f"r{k}"} for k in range(24)]
     bars = ticks_to_bars(event_ticks(spark, sf), "4h").cache()
-    book = run_backtest(bars, sma_crossover(bars, short_window=2, long_window=5), configs_per_series(bars, runs), first_horizon=horizon)
+    book = run_backtest(bars, sma_crossover(bars, short_window=2, long_window=5), configs_per_series(bars, runs), first_blocks=blocks)
     assert book.rejected.count() == 0
 
     duck = duckdb.connect()
