@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlab.schemas import TIMEFRAME_SECONDS
+from barlab.schemas import TIMEFRAME_SECONDS, TIMEFRAMES
+from barlab.streaming.incremental import Build
 from barlab.streaming.bars import late_ticks, run_available, stream_ticks, streaming_bars, with_open_bars
 from checks import duck_sql as D
 from checks.feeds import event_ticks, scratch, table
@@ -61,3 +62,55 @@ def l3(spark, sf):
         stream = stream_ticks(spark, f"{folder}/ticks", ticks.schema)
         run_available(streaming_bars(stream, FRAME), f"{folder}/bars", f"{folder}/state")
     return late_ticks(spark.read.parquet(f"{folder}/ticks"), spark.read.parquet(f"{folder}/bars"), FRAME)
+
+
+def _build(spark, ticks, batches, **how):
+    """Batches of the ticks as files of one folder, built as a stream that takes a file at a time."""
+    folder = scratch(spark)
+    for batch in batches:
+        ticks.where(batch).coalesce(1).write.mode("append").parquet(f"{folder}/ticks")
+    build = Build(f"{folder}/build", **how)
+    build.run_available(spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/ticks"))
+    return build
+
+
+def _by_time(ticks, parts: int) -> list:
+    """Conditions that cut the ticks into time ranges."""
+    low, high = ticks.select(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    edges = [low + (high - low) * k // parts for k in range(parts)] + [high + 1]
+    at = F.unix_micros("timestamp")
+    return [(at >= a) & (at < b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _closed_sql(tf: str) -> str:
+    return f"""(WITH {D.event_bars(tf)}, reached AS (SELECT event_type, max(ts) AS ts FROM events GROUP BY 1)
+    SELECT pair, '{tf}' AS timeframe, {D.stamp('b.ts')} AS timestamp, {r('o')} AS open, {r('h')} AS high, {r('l')} AS low, {r('c')} AS close, n AS tick_count
+    FROM bars b JOIN reached r ON r.event_type = b.pair WHERE b.ts < {D.bucket('r.ts', tf)})"""
+
+
+@query("l1_stream_all_timeframes", " UNION ALL ".join(_closed_sql(tf) for tf in TIMEFRAMES))
+def l1_all(spark, sf):
+    """Seven timeframes of all pairs from one stream, in four batches; a bar is out once its own pair has passed it."""
+    ticks = event_ticks(spark, sf)
+    return _build(spark, ticks, _by_time(ticks, 4)).closed(spark).select(*OHLC, "tick_count")
+
+
+@query("l2_flush_all_timeframes", " UNION ALL ".join(f"({_ohlc(D.EVENT_TICKS, tf, '1 AS z|n AS tick_count')})" for tf in TIMEFRAMES))
+def l2_all(spark, sf):
+    """The end of the input: what the last batch left open comes out, too."""
+    ticks = event_ticks(spark, sf)
+    return _build(spark, ticks, _by_time(ticks, 3)).flushed(spark).select(*OHLC, "tick_count")
+
+
+@query(
+    "l3_late_pair",
+    f"""WITH reached AS (SELECT event_type, max(ts) AS ts FROM events WHERE NOT ({_LATE} AND event_type = 'click') GROUP BY 1),
+    late AS (SELECT e.event_type, count(*) AS late FROM events e JOIN reached r USING (event_type)
+      WHERE event_id % 10 = 0 AND e.event_type = 'click' AND e.ts < {D.bucket('r.ts', FRAME)} GROUP BY 1)
+    SELECT event_type AS pair, coalesce(late, 0) AS late, coalesce(late, 0) > 0 AS failed FROM reached LEFT JOIN late USING (event_type)""",
+)
+def l3_pair(spark, sf):
+    """One pair's rows come late, in a second batch: it fails, the others go on."""
+    ticks = event_ticks(spark, sf)
+    late = (F.col("seq") % 10 == 0) & (F.col("pair") == "click")
+    return _build(spark, ticks, [~late, late], timeframes=(FRAME,)).marks(spark).select("pair", "late", "failed")
