@@ -16,7 +16,7 @@ more than that, the content of one group at least is untouched, so both have the
 1. Every block sends the keys of its distinct sets to hash buckets (packed); a bucket answers
    for each key that several sets share with a *hub*, the smallest of them.  Only pairs (set, hub) come out.
 2. A set goes to one of its hubs, a crowded hub in chunks of about ``CHUNK`` sets, each with the hub.
-   First only points go, and an R-tree over them finds the sets that can be linked; then the tokens of these go, and
+   First only points go, and an R-tree over them (then the finer points of what it finds) tells the sets that can be linked; then the tokens of these go, and
    all their links are found, except between sets that are connected already.
    Components are merged by label propagation over the found links.
 3. In hubs with sets outside the hub's component, those meet every other set of the hub, in blocks against
@@ -51,6 +51,8 @@ from llm.registry import query
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 256
+#: Groups of the finer point, which decides whether a pair's tokens are looked at.
+FINE = 1 << 14
 NODE = 16
 CHUNK = 256
 #: Keys only bring sets together, so 48 bits of their hash are enough.
@@ -140,7 +142,16 @@ def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray, percent:
 
 def point_of(tokens: np.ndarray) -> np.ndarray:
     """Tokens by group."""
-    return np.bincount((tokens & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    return np.bincount((tokens & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
+def fine_point(tokens: np.ndarray) -> np.ndarray:
+    """Counts over ``FINE`` groups, one code a token: group and how many of the group came before.
+
+    Two sets share as many codes as the sum of coordinate minima.  ``GROUPS`` divides ``FINE``, so a coarse point follows.
+    """
+    group = np.sort((tokens & U64(FINE - 1)).astype(np.int64))
+    return np.sort(group + FINE * (np.arange(len(group)) - np.searchsorted(group, group)))
 
 
 class Tree:
@@ -167,7 +178,7 @@ class Tree:
 def links(sets: list[np.ndarray], component: np.ndarray, askers: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets which links with an asker connect; ``component``: known connections."""
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([point_of(s) for s in sets]).astype(np.int64)
+    points = np.stack([point_of(s) for s in sets])
     tree, label, found = Tree(sizes, points, percent), component.copy(), []
     for row in np.flatnonzero(askers):
         mine, open_ = sets[row], label != label[row]
@@ -258,7 +269,7 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wan
         for part, token, bounds, sid, first in sets(batches):
             points: list[bytes | None] = [None] * len(sid)
             for d in first[sieve.value.has(sid[first])]:
-                points[d] = pack(point_of(token[bounds[d] : bounds[d + 1]]))
+                points[d] = pack(np.diff(fine_point(token[bounds[d] : bounds[d + 1]]), prepend=0).astype(np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), pa.array(part.ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(points, pa.binary())], ["sid", "doc_id", "n_shingles", "point"])
 
     with sent(docs.sparkSession, wanted) as sieve:
@@ -291,20 +302,34 @@ def by_cell(table: pa.Table) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
+def bounded(codes: list[np.ndarray], component: np.ndarray, asks: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a cell the bound lets link with an asker of another component, or are such an asker."""
+    sizes = np.array([len(c) for c in codes])
+    points = np.stack([np.bincount(c % GROUPS, minlength=GROUPS) for c in codes]).astype(np.int32)
+    tree, active = Tree(sizes, points, percent), np.zeros(len(sizes), bool)
+    mine = np.zeros(max(int(c[-1]) for c in codes) + 1, bool)
+    for row in np.flatnonzero(asks):
+        near = tree.near(int(sizes[row]), points[row], component != component[row])
+        if not len(near):
+            continue
+        mine[codes[row]] = True
+        common = np.add.reduceat(mine[np.concatenate([codes[other] for other in near])], np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+        mine[codes[row]] = False
+        near = near[common >= least_overlap(sizes[row], sizes[near], percent)]
+        active[near] = True
+        active[row] |= len(near) > 0
+    return active
+
+
 def possible(cells: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Those rows of ``cells`` (with ``size`` and ``point``) for which the bound allows a link that is not known yet with an asker of the cell."""
+    """Those rows of ``cells`` (with ``point``) for which the bound allows a link that is not known yet with an asker of the cell."""
 
     def run(table: pa.Table) -> pa.Table:
         out = []
         for cell in by_cell(table):
+            codes = [np.cumsum(unpack(p, np.uint32), dtype=np.int64) for p in cell.column("point").to_pylist()]
             component, asks = cell.column("component").to_numpy(), cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            sizes, points = cell.column("size").to_numpy(), np.stack([unpack(p, np.uint32) for p in cell.column("point").to_pylist()]).astype(np.int64)
-            tree, active = Tree(sizes, points, percent), np.zeros(len(sizes), bool)
-            for row in np.flatnonzero(asks):
-                near = tree.near(int(sizes[row]), points[row], component != component[row])
-                active[near] = True
-                active[row] |= len(near) > 0
-            out.append(cell.select(CELL).filter(pa.array(active)))
+            out.append(cell.select(CELL).filter(pa.array(bounded(codes, component, asks, percent))))
         return pa.concat_tables(out)
 
     kind = "hub bigint, chunk bigint, sid bigint, component bigint, asks boolean"
@@ -331,7 +356,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     how = docs, id_col, text_col, shingle
     pairs = choose_hubs(*how, percent)
     described = describe_sets(*how, sieve_of(pairs.select(F.col("sid").alias("hash"))))
-    points = described.filter("point IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("size"), F.first("point").alias("point"))
+    points = described.filter("point IS NOT NULL").groupBy("sid").agg(F.first("point").alias("point"))
 
     def verified(cells: DataFrame, label: str) -> DataFrame:
         """Links of cells: the bound on points first, then tokens of those that it leaves."""
