@@ -85,6 +85,19 @@ def h1_default(spark, sf):
     return experiment_matrix(series).groupBy("pair", "timeframe").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("config_hash").alias("hashes"))
 
 
+@query(
+    "h1_selection",
+    f"""SELECT pair, timeframe, 873 AS runs FROM (SELECT DISTINCT pair FROM ({SUPPLIERS})), (VALUES ('1d')) t(timeframe)
+    WHERE pair IN (SELECT min(pair) FROM ({SUPPLIERS}) UNION ALL SELECT max(pair) FROM ({SUPPLIERS}))""",
+)
+def h1_selection(spark, sf):
+    """Two pairs and one timeframe asked for in another case."""
+    series = _series(spark, sf).select("pair", F.explode(F.array(F.lit("1h"), F.lit("1d"))).alias("timeframe"))
+    ends = series.agg(F.min("pair"), F.max("pair")).first()
+    chosen = experiment_matrix(series, pairs=[name.swapcase() for name in ends], timeframes=["1D"])
+    return chosen.groupBy("pair", "timeframe").agg(F.count(F.lit(1)).alias("runs"))
+
+
 def _profile_sql() -> str:
     rows = []
     for name, variant in variants(list(EXIT_PROFILES)):
