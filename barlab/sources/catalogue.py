@@ -138,11 +138,17 @@ def choose_sources(ticks: DataFrame, bars: DataFrame, forced: str | None = None)
     return offered.join(best, "pair").where(rank == F.col("best")).drop("best")
 
 
-def read_ticks(spark: SparkSession, root: str, pair: str) -> DataFrame:
-    """All tick files of one pair, recursively, ``recent`` files excluded before reading any row."""
+def read_ticks(spark: SparkSession, root: str, pairs: list[str] | str | None = None) -> DataFrame:
+    """All tick files, recursively, in one scan; ``recent`` files are excluded before reading any row.
+
+    A row's pair is the folder below ``cleaned_ticks`` that its file lies in.  ``pairs`` names one pair or several; None: all that are there.
+    """
+    base = f"{root.rstrip('/')}/cleaned_ticks"
+    wanted = [pairs] if isinstance(pairs, str) else pairs
+    folder = F.regexp_extract("_metadata.file_path", r"/cleaned_ticks/([^/]+)/", 1)
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .parquet(f"{root.rstrip('/')}/cleaned_ticks/{pair}")
+        .parquet(*([base] if wanted is None else [f"{base}/{pair}" for pair in wanted]))
         .where(~F.contains(F.lower(F.col("_metadata.file_name")), F.lit("recent")))
-        .withColumn("pair", F.lit(pair))
+        .withColumn("pair", folder)
     )

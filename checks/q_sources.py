@@ -89,24 +89,22 @@ def a4(spark, sf):
     return tick_files(paths(spark, sf), SOURCE_PAIRS).select("pair", "path")
 
 
-@query(
-    "a4_tick_scan",
-    f"SELECT event_type AS pair, event_id AS seq, {D.stamp('ts')} AS timestamp, {r('value')} AS mid FROM events WHERE event_type = 'click'",
-)
+@query("a4_tick_scan", f"SELECT event_type AS pair, event_id AS seq, {D.stamp('ts')} AS timestamp, {r('value')} AS mid FROM events")
 def a4_scan(spark, sf):
-    """All tick files of one pair, read recursively; the same ticks again in files named ``recent`` are left out."""
-    folder = scratch(spark) + "/cleaned_ticks/click"
-    ticks = event_ticks(spark, sf).where("pair = 'click'").drop("pair")
-    for part in ("2024/one", "2024/two"):
-        ticks.write.parquet(f"{folder}/{part}")
+    """The tick files of every pair, read recursively in one scan; the same ticks again in files named ``recent`` are left out."""
+    root = scratch(spark)
+    ticks = event_ticks(spark, sf)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    again = path(f"{folder}/2024/two")
-    files = again.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(again):
-        if status.getPath().getName().endswith(".parquet"):
-            files.rename(status.getPath(), path(again, "Recent_" + status.getPath().getName()))
-    rows = read_ticks(spark, folder.removesuffix("/cleaned_ticks/click"), "click")
-    return rows.select("pair", "seq", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "mid")
+    for (pair,) in ticks.select("pair").distinct().collect():
+        own = ticks.where(F.col("pair") == pair).drop("pair")
+        for part in ("2024/one", "2024/two"):
+            own.write.parquet(f"{root}/cleaned_ticks/{pair}/{part}")
+        again = path(f"{root}/cleaned_ticks/{pair}/2024/two")
+        files = again.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(again):
+            if status.getPath().getName().endswith(".parquet"):
+                files.rename(status.getPath(), path(again, "Recent_" + status.getPath().getName()))
+    return read_ticks(spark, root).select("pair", "seq", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "mid")
 
 
 @query("a5_bar_files", TREE + "SELECT pair, source_timeframe, path FROM barfiles")
