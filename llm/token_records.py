@@ -145,19 +145,19 @@ def ids_of(record: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> DataFrame:
     """Encode, write shard files below ``folder`` and return the stored index.
 
+    Records lie in ascending id order, or without ``by_id`` in the order in which a stored, shuffled table is read: a shard for each task.
+
     Index: ``doc_id, shard, place (order in the shard), path, position, length``.
     ``folder`` is any place that Spark and pyarrow.fs both reach.
     """
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    ordered = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
+    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if by_id:
+        ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -239,11 +239,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def run_stage(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    """Write ``docs``, read every record back and return ``doc_id, start, n_tokens, ids_crc32``."""
+def run_stage(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, by_id: bool = True) -> DataFrame:
+    """Write ``docs`` (in the order of `write_records`), read every record back and return ``doc_id, start, n_tokens, ids_crc32``."""
     folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else f"file://{folder}"
-    index = write_records(docs, folder, tokenizer or default_tokenizer(), end_id)
+    index = write_records(docs, folder, tokenizer or default_tokenizer(), end_id, by_id=by_id)
     records = store(read_records(index, folder), "records-read")
     return token_offsets(records).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -40,6 +40,18 @@ def test_columns_and_records(spark, stages):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_copies_do_not_stand_side_by_side(spark, stages, tmp_path):
+    """Records follow the mixing stage's order, as it is stored."""
+    stages[-2].write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    rows = pipeline.write_tokens(spark, mixed, "").orderBy("start").collect()
+    ids = [r.doc_id for r in rows]
+    copies = len(ids) - len(set(ids))
+    beside = sum(a == b for a, b in zip(ids, ids[1:], strict=False))
+    assert len(ids) == mixed.count() and copies > 20 and beside < copies / 4
+    assert ids != sorted(ids, key=lambda i: (i is None, i))
+
+
 def test_registered(spark, sf):
     names = {name.split("_")[0] for name in entry.queries() if name.startswith("op")}
     assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
