@@ -5,7 +5,7 @@
    linked are documents with a Jaccard of 0.8 or more over five-word shingles (op10's query takes three words and 0.9).
 3. benchmark decontamination: contaminated documents go.
 4. mixing sources to target weights: documents are repeated by Poisson counts and shuffled.
-5. token-ID / binary output: framed records and their index; one row per record.
+5. token-ID / binary output: framed records and their index, in the order of the mixing stage; one row per record.
 
 A stage sees its predecessor's rows only.  Rows are told apart by a hash of id and text, so
 null and repeated ids do no harm: repeats of one row share every decision, and stage 2
@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return token_records.run_stage(spark, docs)
+    return token_records.run_stage(spark, docs, by_id=False)
 
 
 STAGES = [
