@@ -42,6 +42,8 @@ PER_CATEGORY = 20_000
 #: The best so many are chosen whatever their z-score, since small samples reach no high one.
 AT_LEAST = 150
 FOLDS = 4
+#: Text that a task looks at at a time.
+BLOCK_BYTES = 4 << 20
 #: What a threshold must do on out-of-fold predictions.
 LEAST_CAUGHT, LEAST_PRECISION = 10, 0.5
 #: Threshold that no probability reaches.
@@ -106,7 +108,7 @@ def choose_features(sample: DataFrame, categories: list[str]) -> tuple[np.ndarra
                 label = batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float)
                 cell = cell * 3 + np.where(np.isnan(label), 2, label > 0.5).astype(np.int64)
             done, cells = 0, FOLDS * 3**size
-            for block in text_blocks(iter([batch])):
+            for block in text_blocks(iter([batch]), BLOCK_BYTES):
                 doc, feature = block_features(block)
                 values, where = np.unique(feature, return_inverse=True)
                 both, n = np.unique(where * cells + cell[done : done + len(block)][doc], return_counts=True)
@@ -214,7 +216,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for block in text_blocks(iter([batch])):
+            for block in text_blocks(iter([batch]), BLOCK_BYTES):
                 doc, feature = block_features(block, chosen)
                 cut = np.searchsorted(doc, np.arange(len(block) + 1))
                 rows = pa.array([feature[a:b].astype(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))
@@ -261,7 +263,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         for batch in batches:
             done = 0
             text = batch.column(position)
-            for block in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), text], ["row", "text"])])):
+            for block in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), text], ["row", "text"])]), BLOCK_BYTES):
                 p, shown = chain.predict(block)
                 part = batch.slice(done, len(block))
                 done += len(block)
