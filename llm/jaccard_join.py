@@ -55,6 +55,8 @@ GROUPS = 256
 FINE = 1 << 14
 NODE = 16
 CHUNK = 256
+#: Text that a task cuts into sets at a time.
+BLOCK_BYTES = 8 << 20
 #: Keys only bring sets together, so 48 bits of their hash are enough.
 KEY_BITS = U64(0xFFFFFFFFFFFF0000)
 
@@ -214,7 +216,7 @@ def block_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int):
     """Rows of (id, text), and a function from their batches to (block, tokens, bounds, set ids, first document of each set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for part in text_blocks(batches):
+        for part in text_blocks(batches, BLOCK_BYTES):
             token, bounds = shingle_sets(part, shingle)
             sid = set_ids(token, bounds)
             _, first = np.unique(sid, return_index=True)
