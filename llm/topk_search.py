@@ -9,7 +9,8 @@ as soon as no outsider's upper bound reaches the k-th best lower bound; only the
 are the scores of those that remain resolved.  The k-th best so far is carried
 from block to block.  A list is never probed for one candidate.
 
-Bounds are sums of integers below 2**53, hence exact in double arithmetic.
+Bounds are sums of integers below 2**53, hence exact in double arithmetic.  Where the components of a block and its
+queries could give larger sums, all its scores are computed in 64-bit integers instead; scores or components beyond these are an error.
 
 Vectors that are null or hold null or non-finite components take no part, nor
 do those whose length differs from the most common rule: all vectors that meet
@@ -33,6 +34,8 @@ from llm.registry import query
 QUERY_BLOCK = 1024
 BLOCK_ROWS = 4096
 STEPS = (0.3, 0.55, 0.75, 0.9)
+#: Integers below this are exact as doubles.
+EXACT = 2.0**53
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -98,6 +101,19 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     return out
 
 
+def search_large(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Like ``search_block`` for components whose sums of products double arithmetic would round."""
+    if np.abs(x).max() * np.abs(q).max() * x.shape[1] >= 2.0**63 or max(np.abs(x).max(), np.abs(q).max()) >= EXACT:
+        raise ValueError("components are too large for 64-bit scores")
+    whole, out = x.astype(np.int64), []
+    for number, weights in zip(query_ids, q.astype(np.int64), strict=True):
+        rows = np.flatnonzero(ids != number)
+        score = whole[rows] @ weights
+        best = np.lexsort((ids[rows], -score))[:k]
+        out.append((rows[best], score[best]))
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of each query, other than rows of its own id.
 
@@ -113,17 +129,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         if not rows.num_rows:
             continue
         query_ids = rows.column("id").to_numpy()
-        sent = spark.sparkContext.broadcast((query_ids, matrix(rows.column("v").combine_chunks(), len(query_ids)).astype(np.float32)))
+        sent = spark.sparkContext.broadcast((query_ids, matrix(rows.column("v").combine_chunks(), len(query_ids))))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             query_ids, q = sent.value
-            q = q.astype(np.float64)
             floor = np.full(len(query_ids), -np.inf)
 
             def search(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
                 if x.shape[1] != q.shape[1]:
                     raise ValueError("vectors differ in length")
-                best = search_block(ids, x, query_ids, q, k, floor)
+                large = x.size and np.abs(x).max() * np.abs(q).max() * x.shape[1] >= EXACT
+                best = search_large(ids, x, query_ids, q, k) if large else search_block(ids, x, query_ids, q, k, floor)
                 counts = [len(rows) for rows, _ in best]
                 rows = np.concatenate([rows for rows, _ in best])
                 score = np.concatenate([score for _, score in best])
