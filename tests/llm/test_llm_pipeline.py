@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,9 +48,9 @@ def test_copies_do_not_stand_side_by_side(spark, stages, tmp_path):
     mixed = spark.read.parquet(str(tmp_path / "mixed"))
     rows = pipeline.write_tokens(spark, mixed, "").orderBy("start").collect()
     ids = [r.doc_id for r in rows]
-    copies = len(ids) - len(set(ids))
     beside = sum(a == b for a, b in zip(ids, ids[1:], strict=False))
-    assert len(ids) == mixed.count() and copies > 20 and beside < copies / 4
+    by_chance = sum(n * (n - 1) for n in Counter(ids).values()) / len(ids)  # one source of few short texts is repeated often
+    assert len(ids) == mixed.count() and beside < 1.3 * by_chance + 10 < len(ids) - len(set(ids))
     assert ids != sorted(ids, key=lambda i: (i is None, i))
 
 
