@@ -20,7 +20,7 @@ more than that, the content of one group at least is untouched, so both have the
    all their links are found, except between sets that are connected already.
    Components are merged by label propagation over the found links.
 3. In hubs with sets outside the hub's component, those meet every other set of the hub, in blocks against
-   chunks, again points first.  After that no link between components is left.
+   chunks (``WIDE`` times as large), again points first.  After that no link between components is left.
 
 Texts do not travel: points and tokens are made from the input again where they are needed, which a bit filter of set
 ids of a fixed size tells (`_sieve`).
@@ -55,6 +55,8 @@ GROUPS = 256
 FINE = 1 << 14
 NODE = 16
 CHUNK = 256
+#: Where mostly points travel, a chunk is so many times as large: fewer copies of each point.
+WIDE = 8
 #: Text that a task cuts into sets at a time.
 BLOCK_BYTES = 8 << 20
 #: Keys only bring sets together, so 48 bits of their hash are enough.
@@ -379,7 +381,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubs = named.filter(own).select("hub", F.col("component").alias("hub_component"))
     named = store(named.join(hubs, "hub").select("hub", "sid", "component", (F.col("component") != F.col("hub_component")).alias("outside")), "jaccard-named")
     mixed = named.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("outside").alias("m")).filter("m > 0")
-    mixed = store(mixed.select("hub", F.ceil(F.col("n") / CHUNK).cast("bigint").alias("chunks"), F.ceil(F.col("m") / CHUNK).cast("bigint").alias("blocks")), "jaccard-mixed")
+    size = lambda column: F.ceil(F.col(column) / (WIDE * CHUNK)).cast("bigint")
+    mixed = store(mixed.select("hub", size("n").alias("chunks"), size("m").alias("blocks")), "jaccard-mixed")
     if not mixed.isEmpty():
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
         place = lambda count: F.pmod(F.xxhash64("sid", F.lit(1)), F.col(count))
