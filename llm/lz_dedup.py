@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing: words in long passages that occur elsewhere.
+"""Substring dedup: words in long passages that occur elsewhere, by factors against a reference occurrence.
+
+This stands in for relative Lempel-Ziv parsing and departs from it: nothing is parsed greedily and no reference block is indexed.  An
+anchor exchange (`_anchors`) brings occurrences together, and an exact grouping of windows settles what the first comparison leaves open.
 
 A passage of 35 words holds an anchor: a run of 18 words whose hash is lowest among 18
 neighbours.  Occurrences of an anchor meet in a bucket with the 17 words on each side.

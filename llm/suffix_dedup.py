@@ -1,6 +1,9 @@
 """Suffix-array dedup: bytes covered by long strings that start earlier in the corpus.
 
-The suffix array is built over a *difference cover chosen by content*: positions whose
+This departs from the plain difference-cover algorithm: no suffixes of the corpus are ordered as a whole.  An anchor exchange
+(`_anchors`) brings equal surroundings together, and sorting and naming happen inside a hash bucket, over 50 bytes on each side.
+
+Suffixes are sampled by a *difference cover chosen by content*: positions whose
 50-byte string hashes lowest among 51 neighbours.  Like a fixed cover it has, for any two
 equal strings of 100 bytes, a common shift at which both are sampled; unlike one it
 samples about one position in 26, and lets suffixes whose start is unique drop out.
