@@ -69,10 +69,11 @@ def file_facts(files: DataFrame, this_year: int | None = None) -> DataFrame:
     )
 
 
-def inventory(rows: DataFrame, root: str | None = None) -> DataFrame:
+def inventory(rows: DataFrame, root: str | None = None, folders: bool = False) -> DataFrame:
     """Per file: rows, timestamp column and its range, from the data itself.
 
     ``rows`` is a file-based DataFrame (Parquet with merged schema, or CSV).
+    With ``folders`` a folder right below ``root`` counts as one file, whatever number of parts it holds.
     The timestamp column is the first candidate that has values in the file.
     Unparsable times are ignored.
     """
@@ -87,10 +88,17 @@ def inventory(rows: DataFrame, root: str | None = None) -> DataFrame:
         *[F.min(parsed[c]).alias(f"min_{c}") for c in present],
         *[F.max(parsed[c]).alias(f"max_{c}") for c in present],
     )
+    if root:
+        per_file = per_file.withColumn("path", F.substring_index("path", root.rstrip("/") + "/", -1))
+    if folders:
+        per_file = per_file.groupBy(F.substring_index("path", "/", 1).alias("path")).agg(
+            *[F.sum(c).alias(c) for c in ("size_bytes", "row_count", *[f"n_{c}" for c in present])],
+            *[F.min(f"min_{c}").alias(f"min_{c}") for c in present],
+            *[F.max(f"max_{c}").alias(f"max_{c}") for c in present],
+        )
     first = lambda make: F.coalesce(*[F.when(F.col(f"n_{c}") > 0, make(c)) for c in present]) if present else F.lit(None)
-    path = F.substring_index("path", root.rstrip("/") + "/", -1) if root else F.col("path")
     return per_file.select(
-        path.alias("path"),
+        "path",
         "size_bytes",
         "row_count",
         first(F.lit).cast("string").alias("timestamp_column"),

@@ -32,10 +32,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
     ),
 )
 def j1(spark, sf):
-    """Rows and time range of every given file, read with one merged schema."""
+    """Rows and time range of every given file or folder of parts, read with one merged schema; one without rows counts 0."""
     rows = spark.read.option("mergeSchema", "true").parquet(*[f"{sf}/{t}.parquet" for t in TABLES])
-    return inventory(rows, sf).select(
-        F.substring_index("path", "/", -1).alias("file"), "row_count", "timestamp_column", "min_timestamp", "max_timestamp"
+    found = inventory(rows, sf, folders=True).withColumnRenamed("path", "file")
+    given = spark.range(1).select(F.explode(F.array(*[F.lit(f"{t}.parquet") for t in TABLES])).alias("file"))
+    return given.join(found, "file", "left").select(
+        "file", F.coalesce("row_count", F.lit(0)).alias("row_count"), "timestamp_column", "min_timestamp", "max_timestamp"
     )
 
 
