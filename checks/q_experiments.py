@@ -10,6 +10,7 @@ from barlab.plans.experiments import (
     EXIT_PROFILES,
     RESULT_COLUMNS,
     TRAILING_PROFILES,
+    by_merge,
     distinct_rules,
     experiment_matrix,
     flatten_results,
@@ -130,7 +131,7 @@ def h3(spark, sf):
 def h4(spark, sf):
     """Distinct per config; a new version changes every hash."""
     first, second = _matrix(spark, sf), _matrix(spark, sf, version="v2")
-    shared = first.join(second.select("config_hash", F.lit(1).alias("hit")), "config_hash", "left")
+    shared = first.join(by_merge(second.select("config_hash", F.lit(1).alias("hit"))), "config_hash", "left")
     return shared.groupBy("pair").agg(
         F.count(F.lit(1)).alias("runs"), F.count_distinct("config_hash").alias("hashes"), F.count("hit").alias("shared_with_next_version"),
         F.max(F.length("config_hash")).alias("digits"),
