@@ -12,6 +12,9 @@ Points that can be linked are brought together by the pigeonhole rule.  Two sets
 Jaccard at least p / 100 differ in at most (a + b) (100 - p) / (100 + p) tokens.  With one group
 more than that, the content of one group at least is untouched, so both have the same key
 (size class, group number, content).  Only keys with two different sets matter.
+There are some groups more (one for ``SPARE``), and each set sends all but that many of its smallest: empty or tiny groups
+would bring unlike sets together.  One untouched group more than are left out remains, and the largest of these is sent by both,
+as in either set that many untouched ones come after it (in order of size, then content, which untouched groups share).
 
 1. Every block sends the keys of its distinct sets to hash buckets (packed); a bucket answers
    for each key that several sets share with a *hub*, the smallest of them.  Only pairs (set, hub) come out.
@@ -53,6 +56,8 @@ PERCENT = 90
 GROUPS = 256
 #: Groups of the finer point, which decides whether a pair's tokens are looked at.
 FINE = 1 << 14
+#: One group in so many more than the pigeonhole rule needs: the smallest give no keys.
+SPARE = 4
 NODE = 16
 CHUNK = 256
 #: Where mostly points travel, a chunk is so many times as large: fewer copies of each point.
@@ -115,7 +120,7 @@ def set_ids(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, document) of every group of the documents ``use``, for their own size class and the one below."""
+    """(key, document) of the largest groups of the documents ``use``, for their own size class and the one below."""
     size = np.diff(bounds)[use]
     if not len(use):
         return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -124,11 +129,12 @@ def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray, percent:
     keys, docs = [], []
     for step in (0, 1):
         tag = own - step
-        many = np.where((tag >= 0), groups[np.maximum(tag, 0)], 1)
-        pick = np.flatnonzero(many > 1)  # with one group only equal sets can be linked
+        need = np.where((tag >= 0), groups[np.maximum(tag, 0)], 1)
+        pick = np.flatnonzero(need > 1)  # with one group only equal sets can be linked
         if not len(pick):
             continue
-        tag, many, doc = tag[pick], many[pick], use[pick]
+        tag, need, doc = tag[pick], need[pick], use[pick]
+        many = need - -need // SPARE
         count = size[pick]
         base = np.concatenate([[0], np.cumsum(many)])
         total = int(count.sum())
@@ -137,10 +143,12 @@ def group_keys(token: np.ndarray, bounds: np.ndarray, use: np.ndarray, percent:
         place = np.repeat(base[:-1], count) + (mix(value ^ U64(0x5BD1E995)) % np.repeat(many, count).astype(U64)).astype(np.int64)
         content = np.zeros(int(base[-1]), U64)
         np.add.at(content, place, mix(value))
-        number = np.arange(int(base[-1])) - np.repeat(base[:-1], many)
-        label = mix((np.repeat(tag, many).astype(U64) << U64(32)) + number.astype(U64))
-        keys.append(mix(content * U64(0x9E3779B97F4A7C15) + label))
-        docs.append(np.repeat(doc, many))
+        row, number = np.repeat(np.arange(len(doc)), many), np.arange(int(base[-1])) - np.repeat(base[:-1], many)
+        order = np.lexsort((content, -np.bincount(place, minlength=int(base[-1])), row))
+        kept = order[number < np.repeat(need, many)]
+        label = mix((tag[row[kept]].astype(U64) << U64(32)) + number[kept].astype(U64))
+        keys.append(mix(content[kept] * U64(0x9E3779B97F4A7C15) + label))
+        docs.append(doc[row[kept]])
     return np.concatenate([*keys, np.zeros(0, U64)]), np.concatenate([*docs, np.zeros(0, np.int64)])
 
 
