@@ -42,7 +42,9 @@ TOP = 2000
 #: A language's candidates are first ranked in so many parts.
 RANK_PARTS = 64
 #: Text that a task counts at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Rows that a task sends at a time.
+BATCH = 1 << 16
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -52,7 +54,7 @@ _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
 class Phrases:
-    """Words of a block joined by single spaces, and the hash of every phrase by its number of words."""
+    """Words of a block, and the hash of every phrase by its number of words."""
 
     def __init__(self, block: Block, langs: list[str]):
         data = lower(block.data)
@@ -60,16 +62,21 @@ class Phrases:
         self.doc = np.repeat(np.arange(len(block)), np.diff(before))
         seeds = {lang: U64(h) for lang, h in zip(sorted(set(langs)), lang_hashes(sorted(set(langs))), strict=True)}
         seed = np.array([seeds[lang] for lang in langs], U64)
-        piece = np.cumsum(_ENDS[data], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
+        piece = np.searchsorted(np.flatnonzero(_ENDS[data]), starts)
         self.joined = (self.doc[1:] == self.doc[:-1]) & (piece[1:] == piece[:-1])
         self.word = mix(hash_spans(data, starts, ends) + seed[self.doc])
+        self.raw, self.at = data, (starts, ends)
+
+    def joined_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words with single spaces between them, and where each starts and ends; only texts of phrases need them."""
+        starts, ends = self.at
         sizes = ends - starts
-        self.ends = np.cumsum(sizes + 1) - 1
-        self.starts = self.ends - sizes
-        self.data = np.full(int(self.ends[-1]) + 1 if len(sizes) else 0, 0x20, np.uint8)
-        inside = np.ones(len(self.data), bool)
-        inside[self.ends] = False
-        self.data[inside] = data[_WORD[data]]
+        ends = np.cumsum(sizes + 1) - 1
+        joined = np.full(int(ends[-1]) + 1 if len(sizes) else 0, 0x20, np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[ends] = False
+        joined[inside] = self.raw[_WORD[self.raw]]
+        return joined, ends - sizes, ends
 
     def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, hash of the phrase from every word on, whether it is in one piece)."""
@@ -90,12 +97,14 @@ class Phrases:
             inside = counts.copy()
             inside[counts] = sieve.has(hashes[counts])
 
-    def spans(self, first: np.ndarray, size: int) -> pa.Array:
+    @staticmethod
+    def spans(joined: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, size: int) -> pa.Array:
         """Texts of the phrases from words ``first`` on."""
-        a, b = self.starts[first], self.ends[first + size - 1]
+        data, starts, ends = joined
+        a, b = starts[first], ends[first + size - 1]
         bounds = np.concatenate([[0], np.cumsum(b - a)])
         at = np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], b - a)
-        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(self.data[at]))
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at]))
 
 
 def lang_hashes(langs: list[str]) -> np.ndarray:
@@ -111,6 +120,13 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Ph
         yield langs, Phrases(block, langs)
 
 
+def tallied(hashes: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Distinct hashes and how often each occurs, in small batches: a large one would be held in full on both sides of the pipe."""
+    found, n = np.unique(hashes, return_counts=True)
+    for i in range(0, len(found), BATCH):
+        yield pa.array(found[i : i + BATCH].view(np.int64)), pa.array(n[i : i + BATCH], pa.int64())
+
+
 def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
@@ -121,8 +137,8 @@ def propose(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, phrases in blocks_of(batches):
             for _, hashes, whole in phrases.levels():
-                found, n = np.unique(hashes[whole], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
+                for found, n in tallied(hashes[whole]):
+                    yield pa.RecordBatch.from_arrays([found, n], ["hash", "n"])
 
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(sample)) == 0)
     return texts_of(drawn, text_col, lang_col).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= lowered).select("hash")
@@ -138,8 +154,8 @@ def count(docs: DataFrame, text_col: str, lang_col: str, sieve: Sieve, older: Si
             for size, hashes, counts in phrases.counted(sieve):
                 if before is not None:
                     counts = counts & ~next(before)[2]
-                found, n = np.unique(hashes[counts], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())], ["hash", "size", "f"])
+                for found, n in tallied(hashes[counts]):
+                    yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(n), size, np.int32)), n], ["hash", "size", "f"])
 
     with sent(docs.sparkSession, (sieve, older)) as filters:
         counted = texts_of(docs, text_col, lang_col).mapInArrow(run, "hash bigint, size int, f bigint")
@@ -169,13 +185,14 @@ def named(docs: DataFrame, text_col: str, lang_col: str, wanted: Sieve) -> DataF
             names, number = np.unique(np.array(langs, object), return_inverse=True)
             names = pa.array(names.tolist(), pa.string())
             yield batch_of(np.zeros(len(names), U64), names, 0, pa.array([""] * len(names)), np.bincount(number[phrases.doc], minlength=len(names)))
+            joined = phrases.joined_words()
             for size, hashes, whole in phrases.levels():
                 place = np.flatnonzero(whole)
                 place = place[filter_.value.has(hashes[place])]
                 found, first = np.unique(hashes[place], return_index=True)
-                for i in range(0, len(first), 1 << 16):
-                    at = place[first[i : i + (1 << 16)]]
-                    yield batch_of(found[i : i + (1 << 16)], names.take(pa.array(number[phrases.doc[at]])), size, phrases.spans(at, size), np.zeros(len(at), np.int64))
+                for i in range(0, len(first), BATCH):
+                    at = place[first[i : i + BATCH]]
+                    yield batch_of(found[i : i + BATCH], names.take(pa.array(number[phrases.doc[at]])), size, phrases.spans(joined, at, size), np.zeros(len(at), np.int64))
 
     with sent(docs.sparkSession, wanted) as filter_:
         rows = texts_of(docs, text_col, lang_col).mapInArrow(run, "hash bigint, lang string, size int, phrase string, n bigint")
